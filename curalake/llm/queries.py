@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from curalake.llm.bpe import round_trip_digests
 from curalake.llm.common import table
 from curalake.llm.exact_dedup import exact_duplicates
+from curalake.llm.mixing import mix_counts
 from curalake.llm.token_files import token_files
 
 
@@ -21,6 +22,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -28,6 +33,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
 }
 
@@ -39,4 +45,31 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op7_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle
+            FROM documents
+        ), s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source
+        ), w AS (
+            SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS cap FROM s
+        ), f AS (
+            SELECT *, row_number() OVER t AS turn,
+                (CAST(sum(source_size) OVER () AS BIGINT) * 1.5::DOUBLE - coalesce(sum(cap) OVER (t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+                    / (sum(weight) OVER (t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+            FROM w WINDOW t AS (ORDER BY cap::DOUBLE / weight::DOUBLE, place)
+        ), o AS (
+            SELECT min(turn) AS first_open, arg_min(level, turn) AS open_level FROM f WHERE level * weight <= cap
+        ), g AS (
+            SELECT source, source_size, CASE WHEN turn >= first_open THEN open_level * weight ELSE cap::DOUBLE END AS target FROM f, o
+        ), q AS (
+            SELECT d.doc_id, d.size, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS whole,
+                CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.shuffle, d.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS before
+            FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+        )
+        SELECT doc_id, size, source_size, target,
+            greatest(0, least(size, whole - before)) + greatest(0, least(size, whole - before - source_size)) AS taken
+        FROM q
+    """,
 }
