@@ -82,3 +82,39 @@ class Memo(dict):
             value = self.function(key)
         self[key] = value
         return value
+
+
+#: Bits of a bit filter; fixed, so a filter stays at 2 MB for any input. A full one only lets more rows through.
+FILTER_BITS = 1 << 24
+
+
+def filter_bit(*columns: str | Column) -> Column:
+    """The bit of a row in a bit filter."""
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)).cast("int")
+
+
+def bit_filter(bits: DataFrame):
+    """A broadcast bit set of the one column of bits; at most FILTER_BITS / 64 words come to the driver."""
+    name = bits.columns[0]
+    words = bits.groupBy(F.expr(f"`{name}` div 64").cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, `{name}` % 64)")).alias("bits")).collect()
+    packed = bytearray(FILTER_BITS // 8)
+    for word, value in words:
+        packed[word * 8 : word * 8 + 8] = (value & (1 << 64) - 1).to_bytes(8, "little")
+    return bits.sparkSession.sparkContext.broadcast(bytes(packed))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (a, b): one row (node, label) for each node; the label is the smallest node.
+
+    Each round takes the smallest label around every node and then the label of that label. Labels are a table in the shared folder.
+    """
+    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
+    while True:
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        mine = labels.withColumnRenamed("label", "before").join(near, F.col("node") == F.col("a")).select("node", "before", F.least("before", "near").alias("mid"))
+        far = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
+        after = saved(mine.join(far, "mid").select("node", "before", F.least("mid", "far").alias("label")), "labels")
+        labels = after.select("node", "label")
+        if after.where("label < before").isEmpty():
+            return labels

@@ -11,6 +11,7 @@ from curalake.llm.bpe import round_trip_digests
 from curalake.llm.common import table
 from curalake.llm.exact_dedup import exact_duplicates
 from curalake.llm.mixing import mix_counts
+from curalake.llm.near_dedup import near_duplicates
 from curalake.llm.token_files import token_files
 
 
@@ -30,11 +31,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
