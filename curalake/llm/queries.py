@@ -13,6 +13,8 @@ from curalake.llm.exact_dedup import exact_duplicates
 from curalake.llm.mixing import mix_counts
 from curalake.llm.near_dedup import near_duplicates
 from curalake.llm.token_files import token_files
+from curalake.llm.toxicity import fit as fit_toxicity
+from curalake.llm.toxicity import score as score_toxicity
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents"))
 
@@ -38,6 +45,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
