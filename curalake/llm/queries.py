@@ -12,6 +12,8 @@ from curalake.llm.common import table
 from curalake.llm.exact_dedup import exact_duplicates
 from curalake.llm.mixing import mix_counts
 from curalake.llm.near_dedup import near_duplicates
+from curalake.llm.quality import fit as fit_quality
+from curalake.llm.quality import score as score_quality
 from curalake.llm.token_files import token_files
 from curalake.llm.toxicity import fit as fit_toxicity
 from curalake.llm.toxicity import score as score_toxicity
@@ -21,6 +23,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,6 +51,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op3_quality": op3_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
