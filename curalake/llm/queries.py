@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from curalake.llm.bpe import round_trip_digests
 from curalake.llm.common import table
 from curalake.llm.exact_dedup import exact_duplicates
+from curalake.llm.lm_scoring import scores as lm_scores
 from curalake.llm.mixing import mix_counts
 from curalake.llm.near_dedup import near_duplicates
 from curalake.llm.quality import fit as fit_quality
@@ -19,6 +20,10 @@ from curalake.llm.toxicity import fit as fit_toxicity
 from curalake.llm.toxicity import score as score_toxicity
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -50,6 +55,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_token_files": op2_token_files,
     "op3_quality": op3_quality,
     "op5_exact_dedup": op5_exact_dedup,
