@@ -16,6 +16,7 @@ from curalake.llm.near_dedup import near_duplicates
 from curalake.llm.quality import fit as fit_quality
 from curalake.llm.quality import score as score_quality
 from curalake.llm.token_files import token_files
+from curalake.llm.top_k import top_k
 from curalake.llm.toxicity import fit as fit_toxicity
 from curalake.llm.toxicity import score as score_toxicity
 
@@ -50,6 +51,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
+    "op9_top_k": op9_top_k,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
@@ -100,4 +106,15 @@ ORACLE_SQL: dict[str, str] = {
             greatest(0, least(size, whole - before)) + greatest(0, least(size, whole - before - source_size)) AS taken
         FROM q
     """,
+    "op9_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+    """,
 }
