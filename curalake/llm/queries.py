@@ -15,6 +15,7 @@ from curalake.llm.mixing import mix_counts
 from curalake.llm.near_dedup import near_duplicates
 from curalake.llm.quality import fit as fit_quality
 from curalake.llm.quality import score as score_quality
+from curalake.llm.substring_dedup import remove_repeats
 from curalake.llm.token_files import token_files
 from curalake.llm.top_k import top_k
 from curalake.llm.toxicity import fit as fit_toxicity
@@ -34,6 +35,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_token_files": op2_token_files,
     "op3_quality": op3_quality,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
