@@ -177,7 +177,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
         for row, (_, values) in zip(x, q):
             row[: len(values)] = values
         ids = np.array([key for key, _ in q], np.int64)
-        block = Block(ids, x, rotation, np.full(len(q), np.iinfo(np.int64).min))
+        block = Block(ids, x, rotation, np.full(len(q), -np.inf))
         head = table.where(F.col("part") == first).select("key", "x")
         found = head.mapInArrow(_search(spark.sparkContext.broadcast(block), k, width), _HITS)
         kth = found.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).where(F.size("s") >= k).select("query_id", F.element_at("s", k).alias("least")).collect()
