@@ -35,12 +35,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from curalake.llm.common import Memo
 
 #: White space as Unicode has it; str.split() also splits at \x1c-\x1f, which are not white space.
 _SPLITS_MORE = re.compile("[\x1c-\x1f]")
 _WORDS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Scripts of which some version of Unicode has characters that others haven't. Letters before these, and general punctuation, are settled.
+_RARE = re.compile("[\u0530-\u1fff\u2065\u2070-\U0010ffff]")
 
 
 def byte_letters() -> list[str]:
@@ -62,7 +65,7 @@ class MergeAutomaton:
         for rank, (a, b, c) in enumerate(merges):
             if a not in known or b not in known or c in known:
                 raise ValueError(f"merge {rank} uses a token that is not there yet, or makes one that is")
-            if self._has(a, b):  # else BPE never comes to this merge, and the gadget adds and removes nothing
+            if self.reached(a) and self.reached(b) and self._has(a, b):  # else BPE never comes to this merge, and the gadget does nothing
                 self.lost[a, b] = rank
             self.copied[c] = (rank, a, b)
             known.add(c)
@@ -115,6 +118,7 @@ class WordBPE:
         vocab: dict[str, int] = model["vocab"]
         self.end: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.library = Tokenizer.from_file(path)  # for normalising and splitting what Unicode versions differ on
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.letters = byte_letters()
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -180,7 +184,10 @@ class WordBPE:
         return tuple(path)
 
     def _word(self, word: str) -> tuple[int, ...]:
-        found = self.pattern.findall(word)
+        if _RARE.search(word):
+            found = [word[i:j] for _, (i, j) in self.library.pre_tokenizer.pre_tokenize_str(word)]
+        else:
+            found = self.pattern.findall(word)
         if len(found) == 1:
             return self.pieces[found[0]]
         return tuple(chain.from_iterable(map(self.pieces.__getitem__, found)))
@@ -197,6 +204,8 @@ class WordBPE:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[int]:
+        if _RARE.search(text):
+            return list(chain.from_iterable(map(self.words.__getitem__, self.library.normalizer.normalize_str(text).split(" ")))) if text.strip(" ") else []
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
