@@ -14,7 +14,7 @@ REFERENCE_NEEDED = "(reference needed)"
 SENTINELS = (NONE, NONE_FOUND, UNKNOWN, NOT_YET_EXTRACTED, REFERENCE_NEEDED)
 MISSING = ("NA", "N/A")
 
-_EDGES = r"^[\s ﻿ -     　]+|[\s ﻿ -     　]+$"
+_EDGES = r"^[\s\x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
 
 
 def strip(c: Column) -> Column:

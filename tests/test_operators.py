@@ -143,3 +143,12 @@ def test_files(spark, tmp_path):
     assert '<\\/b>' in "".join(p.read_text() for p in (tmp_path / "j").glob("part*"))
     (tmp_path / "x.csv").write_text("﻿k,v\n1,a  b\n", encoding="utf-8")
     assert values(files.read_csv(spark, f"{tmp_path}/x.csv", df.schema), "k", "v") == [(1, "a b")]
+
+
+@pytest.mark.parametrize("value,want", [(" x \t", "x"), ("﻿x　", "x"), ("   ", ""), (None, None)])
+def test_strip(spark, value, want):
+    assert one(spark, S.strip(F.col("c")), c=value) == want
+
+
+def test_clean_text(spark):
+    assert one(spark, T.clean_text(F.col("c")), c="a  b\r\n  c \n") == "a b\nc"
