@@ -9,7 +9,8 @@
   posted for both.
 * Skip merging: all members of a list that are linked already are skipped. In each round a list compares one
   pivot with the members that are not in the pivot's component; lists of one component are done. What is
-  left after the pivot rounds is compared in full, but for members of one component and pairs done before.
+  left after the pivot rounds is compared in full, but for members of one component, pairs done before, and
+  pairs of which one set has so many shingles of its own that the common ones can't reach the similarity.
 * Candidates that agree in MATCHES coordinates are confirmed on full sets; links give connected components.
 
 A list is never gathered in one task: pivots are minima with partial aggregation, and pairs come from an
@@ -139,6 +140,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", linked.alias("linked"))
 
 
+def _shared(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """digest, size of the set, and how many of its shingles any other of the classes has."""
+    own = sets.join(classes, "digest", "left_semi").select("digest", "shingles")
+    alone = own.select("digest", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("digest").alias("digest")).where("n = 1")
+    alone = alone.groupBy("digest").agg(F.count("*").alias("alone"))
+    size = F.size("shingles")
+    return own.join(alone, "digest", "left").select("digest", size.alias("size"), (size - F.coalesce(F.col("alone"), F.lit(0))).alias("shared"))
+
+
 def near_duplicate_links(signed: DataFrame, keyed: DataFrame, k: int, percent: int) -> DataFrame | None:
     """Links (a, b) between classes that connect each component; None if no class has a partner."""
     postings = _postings(signed)
@@ -161,8 +171,10 @@ def near_duplicate_links(signed: DataFrame, keyed: DataFrame, k: int, percent: i
             pairs = marked.join(lists, ["pos", "value"]).where("label <> other_label")
         else:
             open_lists = marked.join(lists.select("pos", "value"), ["pos", "value"], "left_semi")
-            others = open_lists.select("pos", "value", F.col("digest").alias("other"), F.col("label").alias("other_label"))
-            pairs = open_lists.join(others, ["pos", "value"]).where("label < other_label")
+            open_lists = saved(open_lists.join(_shared(sets, open_lists.select("digest").distinct()), "digest"), "open")
+            others = open_lists.select("pos", "value", *(F.col(c).alias(o) for c, o in (("digest", "other"), ("label", "other_label"), ("size", "other_size"), ("shared", "other_shared"))))
+            possible = (100 + percent) * F.least("shared", "other_shared") >= percent * (F.col("size") + F.col("other_size"))
+            pairs = open_lists.join(others, ["pos", "value"]).where((F.col("label") < F.col("other_label")) & possible)
         pairs = pairs.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")

@@ -9,7 +9,7 @@ allows it. A shard is written under a name of the task attempt and then renamed,
 twice leaves one whole file.
 
 A document's pieces between white space are looked up in a memo of fixed size in each Python worker; the
-tokenizers library encodes the pieces that are not there.
+pre-tokenizer and the model of the tokenizers library encode the pieces that are not there.
 
 Defined results: a null text counts as empty and has the end id alone; documents with the same id follow
 each other in the order of a hash of the text; null ids come last. Other columns are not read.
@@ -18,6 +18,7 @@ each other in the order of a hash of the text; null ids come last. Other columns
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,19 +27,22 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curalake.llm.common import LAST_ID, id_key, shared_path, text_bytes
+from curalake.llm.bpe import _RARE, byte_letters
+from curalake.llm.common import LAST_ID, Memo, id_key, shared_path, text_bytes
 
 LENGTH = 2048
 #: Sequences in a batch.
 ROWS = 64
 _W = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where byte-level BPE always splits: before a word with the one space before it, and inside longer white space.
-_PIECE = regex.compile(rf" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]")
+_PIECE = re.compile(rf" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]")
+
+#: A word with signs behind it, none of which begins a contraction.
+_SIGNS_AFTER = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -48,7 +52,7 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 class PieceEncoder:
     """Texts to the bytes of their ids."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -58,26 +62,35 @@ class PieceEncoder:
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.code, self.dtype = ("I", np.dtype("<u4")) if self.wide else ("H", np.dtype("<u2"))
         marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.marks = regex.compile("|".join(map(regex.escape, marks))) if marks else None
-        self.limit, self.memo, self.old = limit, {}, {}
+        self.marks = re.compile("|".join(map(re.escape, marks))) if marks else None
+        self.merge = self.tokenizer.model.tokenize
+        self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = byte_letters()
+        self.memo = Memo(self._piece, limit)
+
+    def _piece(self, piece: str) -> bytes:
+        """Letters, and letters before signs, are split as the pre-tokenizer would; it splits all others itself. The library merges each part."""
+        word = piece[1:] if piece[0] == " " else piece
+        if _RARE.search(piece):
+            parts = self.split(piece)
+            return self._merged(parts[0][0]) if len(parts) == 1 else b"".join([self.memo[piece[i:j]] for _, (i, j) in parts])
+        if word.isalpha():
+            return self._merged("".join(map(self.letters.__getitem__, piece.encode())))
+        ends = _SIGNS_AFTER.fullmatch(piece)
+        if ends and ends[1].strip(" ").isalpha():
+            return self.memo[ends[1]] + self.memo[ends[2]]
+        parts = self.split(piece)
+        if len(parts) == 1:
+            return self._merged(parts[0][0])
+        return b"".join([self.memo[piece[i:j]] for _, (i, j) in parts])
+
+    def _merged(self, letters: str) -> bytes:
+        return array(self.code, [t.id for t in self.merge(letters)]).tobytes()
 
     def ids(self, text: str) -> bytes:
         if self.marks is not None and self.marks.search(text):  # these split a text before its white space does
             return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        pieces = _PIECE.findall(text)
-        if len(self.memo) > self.limit:
-            self.memo, self.old = {}, self.memo
-        memo, old = self.memo, self.old
-        new = set(pieces).difference(memo)
-        if new:
-            if old:
-                again = new.intersection(old)
-                memo.update((p, old[p]) for p in again)
-                new -= again
-            unseen = list(new)
-            for p, e in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False)):
-                memo[p] = array(self.code, e.ids).tobytes()
-        return b"".join(map(memo.__getitem__, pieces))
+        return b"".join(map(self.memo.__getitem__, _PIECE.findall(text)))
 
 
 @lru_cache(maxsize=2)

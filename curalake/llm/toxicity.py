@@ -21,15 +21,17 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curalake.llm.common import Memo, id_crc32, spare, text_bytes
+from curalake.llm.common import Memo, id_crc32, saved, spare, text_bytes
 
 #: Most labelled rows of each class that are learned from.
 SAMPLE = 6000
@@ -46,11 +48,14 @@ GAPS = " ._*-~'"
 _SIGN = re.escape("".join(SIGNS))
 _GAP = re.escape(GAPS)
 _DISGUISED = re.compile(
-    rf"(?<![^\W\d_])(?:[^\W\d_]|[{_SIGN}])(?:[{_GAP}](?:[^\W\d_]|[{_SIGN}])){{3,}}(?![^\W\d_])"  # spelled out
+    rf"(?<![^\W\d_])(?:[^\W\d_]|[{_SIGN}])(?:[{_GAP}](?:[^\W\d_]|[{_SIGN}])){{3,}}(?![^\W\d_])"  # spelled out in one token
     rf"|[^\W\d_]*[^\W\d_{_SIGN}][{_SIGN}]+[^\W\d_](?:[^\W\d_]|[{_SIGN}])*"  # signs inside
     rf"|[{_SIGN}][^\W\d_](?:[^\W\d_]|[{_SIGN}])+"  # a sign before
     r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"  # a letter three times
 )
+_THREE = re.compile(r"(.)\1\1")
+#: Letters that stand alone, four or more in a row.
+_SPELLED = re.compile(rf"(?<!\S)(?:[^\W\d_]|[{_SIGN}])(?: (?:[^\W\d_]|[{_SIGN}])){{3,}}(?!\S)")
 #: Bytes to 64 symbols: 0 is the end of a word, 1-26 are letters, 32-63 are the bytes of other characters.
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[ord("a") : ord("z") + 1] = _SYMBOL[ord("A") : ord("Z") + 1] = np.arange(1, 27)
@@ -106,7 +111,7 @@ class ToxicityModel:
 
     def term(self, word: str) -> str | None:
         """The term with the largest log-odds among the word and its beginnings."""
-        own = [t for t in (word, *(word[:n] + "-" for n in PREFIXES if len(word) > n)) if t in self.terms]
+        own = [t for t in _terms(word) if t in self.terms]
         return max(own, key=self.terms.__getitem__) if own else None
 
     def restore(self, token: str) -> str:
@@ -132,18 +137,28 @@ class ToxicityModel:
 
 
 class Scorer:
-    """Scores texts in one Python worker."""
+    """Scores texts in one Python worker; tokens between white space are looked up in a memo of fixed size."""
 
     def __init__(self, model: ToxicityModel):
         self.model = model
-        self.found = Memo(lambda w: model.term(w.decode()) or "", 150_000)
-        self.restored = Memo(lambda t: model.term(model.restore(t)) or "", 20_000)
+        self.tokens = Memo(self._token, 300_000)
+
+    def _token(self, token: str) -> tuple[str, ...]:
+        """The terms of a token, those behind a disguise included."""
+        words = token.encode().translate(_WORDS).decode().split()
+        found = {self.model.term(w) for w in words}
+        if not token.isalpha() or _THREE.search(token):
+            found.update(self.model.term(self.model.restore(m.group())) for m in _DISGUISED.finditer(token))
+        found.discard(None)
+        return tuple(found)
 
     def hits(self, text: str) -> set[str]:
         text = text.lower()
-        out = set(map(self.found.__getitem__, text.encode().translate(_WORDS).split()))
-        out.update(self.restored[m.group()] for m in _DISGUISED.finditer(text))
-        out.discard("")
+        out = set(chain.from_iterable(set(map(self.tokens.__getitem__, text.split()))))
+        for m in _SPELLED.finditer(text):
+            term = self.model.term(self.model.restore(m.group()))
+            if term:
+                out.add(term)
         return out
 
     def score(self, text: str) -> float:
@@ -159,34 +174,60 @@ def _sample(labels: DataFrame, id_col: str, label_col: str, learn) -> DataFrame:
     return picked[0].unionByName(picked[1]).select("id", "y")
 
 
+def _split(text: bytes) -> list[str]:
+    return text.decode().lower().encode().translate(_WORDS).decode().split()
+
+
+def _terms(word: str) -> list[str]:
+    """The word and its beginnings."""
+    return [word, *(word[:n] + "-" for n in PREFIXES if len(word) > n)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | None:
     """The model; None without labelled documents of both classes."""
     sample = F.broadcast(_sample(labels, id_col, label_col, id_crc32(id_col) % 3 != 1))  # 2 * SAMPLE rows at most
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text")).join(sample, "id")
+    rows = saved(docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text")).join(sample, "id").select("y", "text"), "sample")
+    totals = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not totals.get(0) or not totals.get(1):
+        return None
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+
+        def counts() -> pa.RecordBatch:
+            own = list(held[0].keys() | held[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(own), *(pa.array([held[y][t] for t in own], pa.int64()) for y in (1, 0))], ["term", "toxic", "clean"])
+            held[0].clear()
+            held[1].clear()
+            return out
+
+        for batch in batches:
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held[y].update({t for w in set(_split(text.as_py())) for t in _terms(w)})
+                if len(held[0]) + len(held[1]) > 400_000:
+                    yield counts()
+        if held[0] or held[1]:
+            yield counts()
+
+    # Less one standard deviation, so that few documents don't make a term.
+    odds = F.log((F.col("toxic") - F.sqrt("toxic")) / totals[1]) - F.log((F.col("clean") + 1) / totals[0])
+    by_doc = rows.mapInArrow(terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    strong = by_doc.where("toxic >= 3").withColumn("odds", odds).where("odds >= 3").orderBy(F.desc(F.col("odds") * F.col("toxic")), "term").limit(4 * TERMS).collect()
+    known = {r.term for r in strong}
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = set()
-            for key, text, y in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("y").to_pylist()):
-                words = text.as_py().decode().lower().encode().translate(_WORDS).decode().split()
-                out.add(("", key, y, ""))
-                for before, w, next_word in zip(["", *words], words, [*words[1:], ""]):
-                    for t in (w, *(w[:n] + "-" for n in PREFIXES if len(w) > n)):
-                        out.add((t, key, y, f"{before} {next_word}"))
+            for text in batch.column(1):
+                words = _split(text.as_py())
+                for before, w, after in zip(["", *words], words, [*words[1:], ""]):
+                    out.update((t, f"{before} {after}") for t in _terms(w) if t in known)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int32(), pa.string()))], ["term", "id", "y", "around"])
-
-    uses = rows.mapInArrow(terms, "term string, id long, y int, around string")
-    # For each term and class: documents, and contexts (the words around it).
-    by_doc = uses.groupBy("term", "y", "id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count_if(F.col("y") == 1).alias("toxic"), F.count_if(F.col("y") == 0).alias("clean"))
-    by_context = uses.where("y = 1").groupBy("term", "around").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("contexts"))
-    totals = by_doc.where("term = ''").first()
-    if totals is None or not totals.toxic or not totals.clean:
-        return None
-    # Less one standard deviation, so that few documents don't make a term.
-    odds = F.log((F.col("toxic") - F.sqrt("toxic")) / totals.toxic) - F.log((F.col("clean") + 1) / totals.clean)
-    kept = by_doc.where("term <> '' and toxic >= 3").withColumn("odds", odds).where("odds >= 3").join(by_context, "term").where("contexts >= 3 and contexts >= 0.8 * toxic")
-    kept = kept.orderBy(F.desc(F.col("odds") * F.col("toxic")), "term").limit(TERMS).select("term", "odds", "toxic").collect()
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], ["term", "around"])
+
+    around = rows.where("y = 1").mapInArrow(contexts, "term string, around string").distinct().groupBy("term").agg(F.count("*").alias("n")).collect()  # 4 * TERMS rows at most
+    around = {r.term: r.n for r in around}
+    kept = [r for r in strong if around.get(r.term, 0) >= max(3, 0.8 * r.toxic)][:TERMS]
     # A beginning goes if a longer term has nearly all of its documents: the rest of its words are others.
     longer: dict[str, int] = {}
     for r in kept:
