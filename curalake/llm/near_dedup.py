@@ -7,10 +7,13 @@
   other class has agrees with nothing, so a class with fewer than MATCHES shared pairs is left out, and of
   n shared pairs the n - MATCHES + 1 rarest are enough: of two classes that agree in MATCHES pairs, one is
   posted for both.
-* Skip merging: all members of a list that are linked already are skipped. In each round a list compares one
-  pivot with the members that are not in the pivot's component; lists of one component are done. What is
-  left after the pivot rounds is compared in full, but for members of one component, pairs done before, and
-  pairs of which one set has so many shingles of its own that the common ones can't reach the similarity.
+* Skip merging: all members of a list that are linked already are skipped. In each round a list compares some
+  pivots with the members that are not in the pivot's component; lists of one component are done. From the third
+  round on, sets with too many shingles that no other open set has are left out, since nothing can be linked
+  with them, and a set stays in the longest of its lists only.
+* What is left after the pivot rounds is compared in full, but for members of one component, pairs done before,
+  and pairs that fail an exact bound: in the order of rarity, sets of Jaccard similarity s have a common shingle
+  among the first ones, and what follows it in both sets must be long enough.
 * Candidates that agree in MATCHES coordinates are confirmed on full sets; links give connected components.
 
 A list is never gathered in one task: pivots are minima with partial aggregation, and pairs come from an
@@ -35,8 +38,10 @@ from curalake.llm.common import LAST_ID, LOWER, bit_filter, components, filter_b
 
 COORDINATES = 64
 MATCHES = 36
-#: Rounds in which lists compare one pivot.
-PIVOTS = 4
+#: Pivots that a list compares in each round; in the first FULL rounds a set is in all of its lists.
+PIVOTS, FULL = (1, 1, 8, 32), 2
+#: Longest prefix of shingles that is carried along to give a pair once only; pairs of longer ones may come up several times.
+CARRIED = 64
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _random.integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,13 +145,41 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", linked.alias("linked"))
 
 
-def _shared(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """digest, size of the set, and how many of its shingles any other of the classes has."""
-    own = sets.join(classes, "digest", "left_semi").select("digest", "shingles")
-    alone = own.select("digest", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("digest").alias("digest")).where("n = 1")
-    alone = alone.groupBy("digest").agg(F.count("*").alias("alone"))
-    size = F.size("shingles")
-    return own.join(alone, "digest", "left").select("digest", size.alias("size"), (size - F.coalesce(F.col("alone"), F.lit(0))).alias("shared"))
+def _open_sets(sets: DataFrame, marked: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """digest, size and the prefix (n, shingle) in the order of rarity, of the members of lists that can have a link."""
+    members = marked.join(lists.select("pos", "value").distinct(), ["pos", "value"], "left_semi").select("digest").distinct()
+    own = sets.join(members, "digest", "left_semi").select("digest", F.explode("shingles").alias("shingle"))
+    held = own.join(own.groupBy("shingle").agg(F.count("*").alias("n")), "shingle").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("held"))
+    held = held.withColumn("size", F.size("held"))
+    held = held.where(100 * F.size(F.filter("held", lambda x: x["n"] > 1)) >= percent * F.col("size"))
+    return saved(held.select("digest", "size", F.slice("held", F.lit(1), (F.col("size") - F.ceil(percent * F.col("size") / 100) + 1).cast("int")).alias("prefix")), "open")
+
+
+def _longest(marked: DataFrame, open_sets: DataFrame) -> DataFrame:
+    """Each open set in the longest of its lists."""
+    members = marked.join(open_sets.select("digest"), "digest", "left_semi")
+    sized = members.groupBy("pos", "value").agg(F.count("*").alias("n"))
+    best = members.join(sized, ["pos", "value"]).groupBy("digest", "label").agg(F.max(F.struct("n", "pos", "value")).alias("best"))
+    return best.select("best.pos", "best.value", "digest", "label")
+
+
+def _left(open_sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (digest, other) of open sets of different components that can be similar."""
+    marked = open_sets.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    carried = F.when(F.size("prefix") <= CARRIED, F.col("prefix.shingle")).alias("carried")
+    post = marked.select("digest", "label", "size", carried, F.posexplode("prefix").alias("before", "p")).where("p.n > 1").select("digest", "label", "size", "carried", "before", "p.shingle")
+    post = saved(post, "prefixes")
+    # The component with most members of a list is on one side only, so that its members don't meet each other.
+    main = post.groupBy("shingle", "label").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("n")).where("n > 1").select("shingle", "main")
+    a = post.join(main, "shingle")
+    b = a.where("label <> main").select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("digest", "label", "size", "carried", "before"))).withColumnRenamed("other_digest", "other")
+    once = F.coalesce(F.array_intersect("carried", "other_carried")[0] == F.col("shingle"), F.lit(True))
+    reach = F.least(F.col("size") - F.col("before"), F.col("other_size") - F.col("other_before"))
+    possible = (100 + percent) * reach >= percent * (F.col("size") + F.col("other_size"))
+    differ = (F.col("label") != F.col("other_label")) & ((F.col("label") == F.col("main")) | (F.col("label") < F.col("other_label")))
+    # A bound holds where the common shingle is the first one; without the carried prefixes that isn't known.
+    known = F.col("carried").isNotNull() & F.col("other_carried").isNotNull()
+    return a.join(b, "shingle").where(differ & (possible | ~known) & once).select("digest", "other")
 
 
 def near_duplicate_links(signed: DataFrame, keyed: DataFrame, k: int, percent: int) -> DataFrame | None:
@@ -156,31 +189,34 @@ def near_duplicate_links(signed: DataFrame, keyed: DataFrame, k: int, percent: i
         return None
     classes = postings.select("digest").distinct()
     sets = _sets(keyed, signed, classes, k)
-    labels, done = None, None
-    for turn in range(PIVOTS + 1):
-        if labels is None:
-            marked = postings.withColumn("label", F.col("digest"))
-        else:
-            marked = postings.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-        marked = saved(marked, "marked")
-        lists = marked.groupBy("pos", "value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), F.col("digest"), F.col("label"))).alias("pivot"))
-        lists = saved(lists.where("low < high").select("pos", "value", F.col("pivot.digest").alias("other"), F.col("pivot.label").alias("other_label")), "lists")
+    labels = saved(classes.select(F.col("digest").alias("node"), F.col("digest").alias("label")), "labels")
+    done, open_sets = None, None
+    for turn in range(len(PIVOTS) + 1):
+        marked = saved(postings.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest")), "marked")
+        if open_sets is not None and turn < len(PIVOTS):
+            marked = saved(_longest(marked, open_sets), "marked")
+        lists = marked.groupBy("pos", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("pos", "value")
+        lists = saved(lists, "lists")
         if lists.isEmpty():
-            break
-        if turn < PIVOTS:
-            pairs = marked.join(lists, ["pos", "value"]).where("label <> other_label")
+            if turn <= FULL:
+                break
+            continue  # other lists may be open
+        if turn == FULL:
+            open_sets = _open_sets(sets, marked, lists, percent)
+            marked = saved(_longest(marked, open_sets), "marked")
+        if turn < len(PIVOTS):
+            h = F.xxhash64("digest", F.lit(turn))
+            pivots = marked.join(lists, ["pos", "value"], "left_semi").groupBy("pos", "value", F.pmod(h, F.lit(PIVOTS[turn])).alias("slot")).agg(F.min(F.struct(h.alias("h"), F.col("digest"), F.col("label"))).alias("pivot"))
+            pivots = pivots.select("pos", "value", F.col("pivot.digest").alias("other"), F.col("pivot.label").alias("other_label"))
+            pairs = marked.join(pivots, ["pos", "value"]).where("label <> other_label")
         else:
-            open_lists = marked.join(lists.select("pos", "value"), ["pos", "value"], "left_semi")
-            open_lists = saved(open_lists.join(_shared(sets, open_lists.select("digest").distinct()), "digest"), "open")
-            others = open_lists.select("pos", "value", *(F.col(c).alias(o) for c, o in (("digest", "other"), ("label", "other_label"), ("size", "other_size"), ("shared", "other_shared"))))
-            possible = (100 + percent) * F.least("shared", "other_shared") >= percent * (F.col("size") + F.col("other_size"))
-            pairs = open_lists.join(others, ["pos", "value"]).where((F.col("label") < F.col("other_label")) & possible)
+            pairs = _left(open_sets, labels, percent)
         pairs = pairs.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         found = saved(_confirmed(pairs, sets, percent), "compared")
         done = found if done is None else done.unionByName(found)
-        if turn == PIVOTS or not found.where("linked").isEmpty():
+        if turn == len(PIVOTS) or not found.where("linked").isEmpty():
             labels = components(done.where("linked"))
     return labels
 
