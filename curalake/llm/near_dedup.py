@@ -11,7 +11,7 @@
   pivots with the members that are not in the pivot's component; lists of one component are done. From the third
   round on, sets with too many shingles that no other open set has are left out, since nothing can be linked
   with them, and a set stays in the longest of its lists only.
-* What is left after the pivot rounds is compared in full, but for members of one component, pairs done before,
+* What is left after the pivot rounds is compared in full (a share of it first, for new components), but for members of one component, pairs done before,
   and pairs that fail an exact bound: in the order of rarity, sets of Jaccard similarity s have a common shingle
   among the first ones, and what follows it in both sets must be long enough.
 * Candidates that agree in MATCHES coordinates are confirmed on full sets; links give connected components.
@@ -39,7 +39,9 @@ from curalake.llm.common import LAST_ID, LOWER, bit_filter, components, filter_b
 COORDINATES = 64
 MATCHES = 36
 #: Pivots that a list compares in each round; in the first FULL rounds a set is in all of its lists.
-PIVOTS, FULL = (1, 1, 8, 32), 2
+PIVOTS, FULL = (1, 1, 8), 2
+#: After the pivots, one in so many of the pairs that are left is compared, then what the new components leave.
+WAVES = (64, 8, 1)
 #: Longest prefix of shingles that is carried along to give a pair once only; pairs of longer ones may come up several times.
 CARRIED = 64
 
@@ -163,8 +165,8 @@ def _longest(marked: DataFrame, open_sets: DataFrame) -> DataFrame:
     return best.select("best.pos", "best.value", "digest", "label")
 
 
-def _left(open_sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (digest, other) of open sets of different components that can be similar."""
+def _left(open_sets: DataFrame, labels: DataFrame, percent: int, wave: int) -> DataFrame:
+    """Pairs (digest, other) of open sets of different components that can be similar; one in `wave` of them."""
     marked = open_sets.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     carried = F.when(F.size("prefix") <= CARRIED, F.col("prefix.shingle")).alias("carried")
     post = marked.select("digest", "label", "size", carried, F.posexplode("prefix").alias("before", "p")).where("p.n > 1").select("digest", "label", "size", "carried", "before", "p.shingle")
@@ -179,7 +181,8 @@ def _left(open_sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     differ = (F.col("label") != F.col("other_label")) & ((F.col("label") == F.col("main")) | (F.col("label") < F.col("other_label")))
     # A bound holds where the common shingle is the first one; without the carried prefixes that isn't known.
     known = F.col("carried").isNotNull() & F.col("other_carried").isNotNull()
-    return a.join(b, "shingle").where(differ & (possible | ~known) & once).select("digest", "other")
+    now = F.pmod(F.xxhash64(F.least("digest", "other"), F.greatest("digest", "other")), F.lit(wave)) == 0
+    return a.join(b, "shingle").where(differ & now & (possible | ~known) & once).select("digest", "other")
 
 
 def near_duplicate_links(signed: DataFrame, keyed: DataFrame, k: int, percent: int) -> DataFrame | None:
@@ -191,7 +194,8 @@ def near_duplicate_links(signed: DataFrame, keyed: DataFrame, k: int, percent: i
     sets = _sets(keyed, signed, classes, k)
     labels = saved(classes.select(F.col("digest").alias("node"), F.col("digest").alias("label")), "labels")
     done, open_sets = None, None
-    for turn in range(len(PIVOTS) + 1):
+    last = len(PIVOTS) + len(WAVES) - 1
+    for turn in range(last + 1):
         marked = saved(postings.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest")), "marked")
         if open_sets is not None and turn < len(PIVOTS):
             marked = saved(_longest(marked, open_sets), "marked")
@@ -210,13 +214,13 @@ def near_duplicate_links(signed: DataFrame, keyed: DataFrame, k: int, percent: i
             pivots = pivots.select("pos", "value", F.col("pivot.digest").alias("other"), F.col("pivot.label").alias("other_label"))
             pairs = marked.join(pivots, ["pos", "value"]).where("label <> other_label")
         else:
-            pairs = _left(open_sets, labels, percent)
+            pairs = _left(open_sets, labels, percent, WAVES[turn - len(PIVOTS)])
         pairs = pairs.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         found = saved(_confirmed(pairs, sets, percent), "compared")
         done = found if done is None else done.unionByName(found)
-        if turn == len(PIVOTS) or not found.where("linked").isEmpty():
+        if turn == last or not found.where("linked").isEmpty():
             labels = components(done.where("linked"))
     return labels
 
