@@ -172,7 +172,9 @@ def _left(open_sets: DataFrame, labels: DataFrame, percent: int, wave: int) -> D
     post = marked.select("digest", "label", "size", carried, F.posexplode("prefix").alias("before", "p")).where("p.n > 1").select("digest", "label", "size", "carried", "before", "p.shingle")
     post = saved(post, "prefixes")
     # The component with most members of a list is on one side only, so that its members don't meet each other.
-    main = post.groupBy("shingle", "label").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("n")).where("n > 1").select("shingle", "main")
+    # Of equally large ones it is the one with the largest label, and a table, so that both sides of the join have the same.
+    main = post.groupBy("shingle", "label").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("n")).where("n > 1").select("shingle", "main")
+    main = saved(main, "mains")
     a = post.join(main, "shingle")
     b = a.where("label <> main").select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("digest", "label", "size", "carried", "before"))).withColumnRenamed("other_digest", "other")
     once = F.coalesce(F.array_intersect("carried", "other_carried")[0] == F.col("shingle"), F.lit(True))

@@ -97,6 +97,24 @@ def test_near(spark, docs, rows, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [3, 7])
+def test_left_ties(spark, partitions):
+    """Two single sets share each shingle: which of them is the main one doesn't depend on the order in which rows arrive."""
+    name = lambda side, n: bytes([side, n])
+    rows = [(name(side, n), 1, [(2, n)]) for n in range(100) for side in (1, 2)]
+    labels = spark.createDataFrame([(d, d) for d, _, _ in rows], "node binary, label binary")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.exchange.reuse")}
+    try:
+        for k, v in zip(before, (str(partitions), "false", "false")):
+            spark.conf.set(k, v)
+        sets = spark.createDataFrame(rows, "digest binary, size int, prefix array<struct<n: long, shingle: long>>").repartition(16)
+        got = [(bytes(r.digest), bytes(r.other)) for r in near_dedup._left(sets, labels, 80, 1).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(got) == [(name(2, n), name(1, n)) for n in range(100)]
+
+
 def test_near_drop(docs, none):
     out = near_dedup.drop_near_duplicates(docs)
     assert out.columns == docs.columns
