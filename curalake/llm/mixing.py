@@ -104,19 +104,55 @@ def queued(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
 
 def copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """The copies that the mix takes: rows of `queued` with copy, finish (virtual finish time) and taken (words)."""
-    out = queued(rows, weights, share, cap).withColumn("copy", F.explode(F.array(*map(F.lit, range(cap)))))
+    return _copies(queued(rows, weights, share, cap), cap)
+
+
+def _copies(queue: DataFrame, cap: int = CAP) -> DataFrame:
+    out = queue.withColumn("copy", F.explode(F.array(*map(F.lit, range(cap)))))
     start = F.col("before") + F.col("copy") * F.col("source_size")
     taken = F.least(F.col("size"), F.floor("target") - start)
     return out.withColumns({"finish": (start + F.col("size")) / F.col("target"), "taken": taken}).where("taken > 0")
 
 
 def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+    """One row per document: doc_id, size, source_size, target, taken; by arithmetic on each queue alone, as a check of `fair_counts`."""
     rows = queued(_sized(docs, id_col, text_col, source_col))
     taken = sum(F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - F.col("before") - k * F.col("source_size"))) for k in range(CAP))
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def _served(taken: DataFrame) -> DataFrame:
+    """Rows of `copies` in the order of virtual finish time with served: the words taken ahead of each, over all sources."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, carry = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            words = batch.column("taken").to_numpy()
+            served = carry + np.cumsum(words) - words
+            carry += int(words.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(words), part, np.int32)), pa.array(served, pa.int64())], [*batch.schema.names, "part", "served"])
+
+    order = ("finish", "place", "copy", "before")
+    sorted_copies = taken.select("place", "before", "copy", "finish", F.col("taken").cast("long").alias("taken")).repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = sorted_copies.schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    local = saved(sorted_copies.mapInArrow(run, schema + ", part int, served long"), "served")
+    totals = local.groupBy("part").agg(F.sum("taken").alias("words"))  # a row for each partition
+    ahead = F.coalesce(F.sum("words").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return local.join(F.broadcast(totals.select("part", ahead.alias("ahead"))), "part").withColumn("served", F.col("served") + F.col("ahead")).drop("ahead", "part")
+
+
+def fair_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of `mix_counts`, with taken from the queue: copies in the order of virtual finish time over all sources, cut off at the budget."""
+    rows = saved(queued(_sized(docs, id_col, text_col, source_col)), "queued")
+    goals = rows.select("place", "target").distinct()  # a row for each source
+    served = _served(_copies(rows)).crossJoin(F.broadcast(goals.agg(F.floor(F.sum("target")).alias("budget"))))
+    words = F.greatest(F.lit(0), F.least("taken", F.col("budget") - F.col("served")))
+    # A source serves one document with words at a time, so its place in the queue tells it.
+    taken = served.groupBy("place", "before").agg(F.sum(words).alias("taken")).select("place", "before", F.lit(True).alias("sized"), "taken")
+    out = rows.withColumn("sized", F.col("size") > 0).join(taken, ["place", "before", "sized"], "left")
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix: rows of docs, repeated or cut as taken, in the order of virtual finish time."""
     taken = copies(_sized(docs, id_col, text_col, source_col)).groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("finish", "copy", "size", "taken"))).alias("takes"))

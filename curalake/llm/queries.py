@@ -11,7 +11,7 @@ from curalake.llm.bpe import round_trip_digests
 from curalake.llm.common import table
 from curalake.llm.exact_dedup import exact_duplicates
 from curalake.llm.lm_scoring import scores as lm_scores
-from curalake.llm.mixing import mix_counts
+from curalake.llm.mixing import fair_counts
 from curalake.llm.near_dedup import near_duplicates
 from curalake.llm.quality import fit as fit_quality
 from curalake.llm.quality import score as score_quality
@@ -49,7 +49,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_counts(table(spark, sf_dir, "documents"))
+    return fair_counts(table(spark, sf_dir, "documents"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

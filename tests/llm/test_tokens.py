@@ -148,3 +148,23 @@ def test_mix(docs, rows, none):
         words[r.source] += len((r.text or "").encode().split())
     assert dict(words) == {s: n for s, n in taken.items() if n}
     assert mix_counts(none).count() == 0 and mix(none).count() == 0
+
+
+def test_fair_queue(spark, docs, none, monkeypatch):
+    """op7 takes what the queue over all sources serves: copies sorted by finish, a running total, the cut at the budget."""
+    from curalake.llm import mixing, queries
+
+    hot = [(n % 5000, " ".join(["w"] * (9000 if n == 77 else n % 13)), "hot" if n % 10 else f"s{n % 7}") for n in range(6000)]
+    df = docs.select("doc_id", "text", "source").unionByName(spark.createDataFrame(hot, "doc_id long, text string, source string"))
+    seen, served = [], mixing._served
+    monkeypatch.setattr(mixing, "_served", lambda taken: seen.append(served(taken)) or seen[-1])
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+    got = queries.op7_mixing(spark, "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mix_counts(df).collect()), key=str)
+    queue = sorted((r.finish, r.place, r.copy, r.before, r.served, r.taken) for r in seen[0].collect())
+    total = 0
+    for *_, ahead, taken in queue:
+        assert ahead == total
+        total += taken
+    assert total == sum(r.taken for r in got)
+    assert mixing.fair_counts(none).count() == 0
