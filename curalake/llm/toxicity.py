@@ -1,9 +1,9 @@
 """Toxicity by noisy-channel deobfuscation.
 
 1. A character trigram model is counted over all documents.
-2. Terms (words and beginnings of words) get log-odds of toxic against clean from labelled documents; those
-   that few documents, or few contexts, support are left out. Contexts keep copies of one document from
-   counting as many.
+2. Terms (words and beginnings of words) get log-odds of toxic against clean from the distinct texts of labelled
+   documents; those that few texts, or few contexts, support are left out: both counts must give the odds.
+   So neither copies of one document nor near copies count as many, and copies don't outweigh other uses.
 3. Tokens that look disguised (digits or signs between letters, a letter three times, spelled-out letters)
    become a lattice: each sign may stand for its letters, a separator or a repeat may stand for nothing. Viterbi
    decoding under the character model, mixed with one of the terms, restores the likeliest word.
@@ -186,7 +186,7 @@ def _terms(word: str) -> list[str]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | None:
     """The model; None without labelled documents of both classes."""
     sample = F.broadcast(_sample(labels, id_col, label_col, id_crc32(id_col) % 3 != 1))  # 2 * SAMPLE rows at most
-    rows = saved(docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text")).join(sample, "id").select("y", "text"), "sample")
+    rows = saved(docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text")).join(sample, "id").select("y", "text").distinct(), "sample")
     totals = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not totals.get(0) or not totals.get(1):
         return None
@@ -211,23 +211,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # Less one standard deviation, so that few documents don't make a term.
     odds = F.log((F.col("toxic") - F.sqrt("toxic")) / totals[1]) - F.log((F.col("clean") + 1) / totals[0])
+    enough = (F.col("toxic") >= 3) & (odds >= 3)
     by_doc = rows.mapInArrow(terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    strong = by_doc.where("toxic >= 3").withColumn("odds", odds).where("odds >= 3").orderBy(F.desc(F.col("odds") * F.col("toxic")), "term").limit(4 * TERMS).collect()
+    strong = by_doc.where(enough).withColumn("odds", odds).orderBy(F.desc(F.col("odds") * F.col("toxic")), "term").limit(4 * TERMS).collect()
     known = {r.term for r in strong}
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = set()
-            for text in batch.column(1):
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = _split(text.as_py())
                 for before, w, after in zip(["", *words], words, [*words[1:], ""]):
-                    out.update((t, f"{before} {after}") for t in _terms(w) if t in known)
+                    out.update((y, t, f"{before} {after}") for t in _terms(w) if t in known)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], ["term", "around"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.string(), pa.string()))], ["y", "term", "around"])
 
-    around = rows.where("y = 1").mapInArrow(contexts, "term string, around string").distinct().groupBy("term").agg(F.count("*").alias("n")).collect()  # 4 * TERMS rows at most
-    around = {r.term: r.n for r in around}
-    kept = [r for r in strong if around.get(r.term, 0) >= max(3, 0.8 * r.toxic)][:TERMS]
+    # Near copies repeat the contexts of a term: it must be as strong when no class has more uses of it than contexts.
+    around = rows.mapInArrow(contexts, "y int, term string, around string").distinct().groupBy("term").agg(F.count_if(F.col("y") == 1).alias("toxic"), F.count_if(F.col("y") == 0).alias("clean"))
+    around = around.where(enough).collect()  # 4 * TERMS rows at most
+    around = {r.term for r in around}
+    kept = [r for r in strong if r.term in around][:TERMS]
     # A beginning goes if a longer term has nearly all of its documents: the rest of its words are others.
     longer: dict[str, int] = {}
     for r in kept:

@@ -74,6 +74,22 @@ def test_toxicity(spark, tables, docs, none):
     assert out.columns == docs.columns
 
 
+def test_toxicity_with_copies(spark):
+    """A third of the toxic rows are copies of one text; its term is also used in others and stays, and its other words don't become terms."""
+    rng = np.random.default_rng(3)
+    word = lambda: f"{'bcdfghklmnprstvz'[rng.integers(16)]}{'aeiou'[rng.integers(5)]}" * 2 + f"q{chr(97 + rng.integers(26))}"
+    text = lambda *more: " ".join([*(word() for _ in range(12)), *more, *(word() for _ in range(12))])
+    copied = "onceonly passage words stand around grubnak in this longer copied sentence"
+    rows = [(copied, 1)] * 200 + [(text("grubnak"), 1) for _ in range(200)] + [(text("zelfort"), 1) for _ in range(200)] + [(text(), 0) for _ in range(600)]
+    docs = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(rows)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(n, y) for n, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert {"grubnak", "zelfort"} <= set(model.terms)
+    assert not {"onceonly", "passage", "sentence"} & set(model.terms)
+    found = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert all(found[n] == y for n, (_, y) in enumerate(rows))
+
+
 @pytest.mark.parametrize("token", ["1d10t", "idiiiot", "1 d i 0 t", "i.d.i.o.t", "i-d-i-o-t", "!d!ot", "IDI0T"])
 def test_disguises(token):
     letters = np.zeros((64, 64, 64))
