@@ -152,3 +152,18 @@ def test_strip(spark, value, want):
 
 def test_clean_text(spark):
     assert one(spark, T.clean_text(F.col("c")), c="a  b\r\n  c \n") == "a b\nc"
+
+
+def test_new_ids_over_many_partitions(spark):
+    """Adaptive execution coalesces narrow and wide rows differently; ids must still be without gaps and repeats."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        for k, v in zip(before, ("40", "64k")):
+            spark.conf.set(k, v)
+        existing = spark.createDataFrame([(7,)], "id long")
+        incoming = spark.range(0, 20000, 1, 8).select(((F.col("id") * 7919) % 20000).alias("k"), F.concat(*(F.sha2((F.col("id") + n).cast("string"), 256) for n in range(8))).alias("wide"))
+        got = values(merge.new_ids(existing, incoming, "id", ["k"]).selectExpr("k", "id - k AS ahead", "wide"), "k", "ahead")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 20000 and {a for _, a in got} == {8}
