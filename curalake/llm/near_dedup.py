@@ -7,21 +7,23 @@
   other class has agrees with nothing, so a class with fewer than MATCHES shared pairs is left out, and of
   n shared pairs the n - MATCHES + 1 rarest are enough: of two classes that agree in MATCHES pairs, one is
   posted for both.
-* Skip merging: all members of a list that are linked already are skipped. In each round a list compares some
-  pivots with the members that are not in the pivot's component; lists of one component are done. From the third
-  round on, sets with too many shingles that no other open set has are left out, since nothing can be linked
-  with them, and a set stays in the longest of its lists only.
-* What is left after the pivot rounds is compared in full (a share of it first, for new components), but for members of one component, pairs done before,
-  and pairs that fail an exact bound: in the order of rarity, sets of Jaccard similarity s have a common shingle
-  among the first ones, and what follows it in both sets must be long enough.
-* Candidates that agree in MATCHES coordinates are confirmed on full sets; links give connected components.
-
-A list is never gathered in one task: pivots are minima with partial aggregation, and pairs come from an
-equi-join that Spark can split. A list of n near copies of one text takes about n comparisons, not n * n / 2.
+* Skip merging: members of a list that are linked already are skipped, and lists of one component are done.
+  First each list compares its members with its central one, whose coordinate-value pairs are the most frequent;
+  then with the central one of those that this left outside.
+* In what is left of a list, the members outside its largest component meet all others in blocks of bounded size.
+  There the collisions of two signatures are counted, and a pair comes out once, at the first list that both are
+  posted in, if it has MATCHES of them and passes an exact bound: the shingles of a set are counted by BUCKETS of
+  their hash, and two sets can't share more in a bucket than the smaller count.
+* Candidates are confirmed on full sets; links give connected components.
+
+A list is never gathered in one task: pivots are maxima with partial aggregation, and the blocks of a list are
+keys of their own. A list of n near copies takes about n comparisons with its pivot, and the blocks look at the
+signatures of (members outside the largest component) x (members).
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing; a text of
-fewer than k words is one shingle; rows with one id and different texts are separate; a null id comes last.
-Other columns are not read.
+fewer than k words is one shingle, however long; very long texts are hashed whole; equal sets are one class;
+rows with one id and different texts are separate; a null id comes last; an empty table gives no rows.
+Other columns are not read, so their names may clash with any here.
 """
 
 from __future__ import annotations
@@ -31,19 +33,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curalake.llm.common import LAST_ID, LOWER, bit_filter, components, filter_bit, id_key, saved, spare, text_bytes
 
 COORDINATES = 64
 MATCHES = 36
-#: Pivots that a list compares in each round; in the first FULL rounds a set is in all of its lists.
-PIVOTS, FULL = (1, 1, 8), 2
-#: After the pivots, one in so many of the pairs that are left is compared, then what the new components leave.
-WAVES = (64, 8, 1)
-#: Longest prefix of shingles that is carried along to give a pair once only; pairs of longer ones may come up several times.
-CARRIED = 64
+#: Comparisons of a list with central members before its blocks are compared.
+PIVOTS = 2
+#: Members of a list that meet in one block, about.
+BLOCK = 1024
+#: Buckets of the counts of a set's shingles.
+BUCKETS = 256
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _random.integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,129 +102,204 @@ def _signed(keyed: DataFrame, k: int) -> DataFrame:
     return saved(keyed.mapInArrow(run, "id long, n_shingles long, digest binary, sign array<int>"), "signed")
 
 
+def bucket_counts(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles of a set each bucket has; 255 stands for more too."""
+    return np.minimum(np.bincount(shingles & np.uint64(BUCKETS - 1), minlength=BUCKETS), 255).astype(np.uint8)
+
+
 def _sets(keyed: DataFrame, signed: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """digest, signature and set of the classes, from the texts again."""
+    """digest, signature, set, its size and bucket counts of the classes, from the texts again."""
     wanted = signed.join(classes, "digest", "left_semi")
     bits = bit_filter(wanted.select(filter_bit("id").alias("bit")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bits.value
         for batch in batches:
-            digests, sets = [], []
+            digests, sets, counts = [], [], []
             for bit, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if held[bit >> 3] >> (bit & 7) & 1:
                     s = shingle_set(text.as_py(), k)
                     if len(s):
                         digests.append(_digest(s))
                         sets.append(s.view(np.int64))
+                        counts.append(bucket_counts(s).tobytes())
             if digests:
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(counts, pa.binary())], ["digest", "shingles", "counts"])
 
-    sets = keyed.select(filter_bit("id").alias("bit"), "text").mapInArrow(run, "digest binary, shingles array<long>")
-    signs = wanted.groupBy("digest").agg(F.first("sign").alias("sign"))
-    return saved(sets.groupBy("digest").agg(F.first("shingles").alias("shingles")).join(signs, "digest"), "sets")
+    sets = keyed.select(filter_bit("id").alias("bit"), "text").mapInArrow(run, "digest binary, shingles array<long>, counts binary")
+    sets = sets.groupBy("digest").agg(F.first(F.struct("shingles", "counts")).alias("s")).select("digest", "s.shingles", "s.counts", F.size("s.shingles").alias("size"))
+    return saved(sets.join(wanted.groupBy("digest").agg(F.first("sign").alias("sign")), "digest"), "sets")
 
 
 def _postings(signed: DataFrame) -> DataFrame:
-    """pos, value, digest: the prefix of each class that can have a partner."""
+    """pos, value, digest, score, posted: the prefix of each class that can have a partner.
+
+    score is larger for a class whose pairs are frequent, posted has the bit of each coordinate in the prefix.
+    """
     classes = signed.where("digest is not null").groupBy("digest").agg(F.first("sign").alias("sign"))
     pairs = saved(classes, "classes").select("digest", F.posexplode("sign").alias("pos", "value"))
     shared = pairs.groupBy("pos", "value").agg(F.count("*").alias("n")).where("n > 1")
-    held = pairs.join(shared, ["pos", "value"]).groupBy("digest").agg(F.collect_list(F.struct("n", "pos", "value")).alias("held"))
+    held = pairs.join(shared, ["pos", "value"]).groupBy("digest").agg(F.collect_list(F.struct("n", "pos", "value")).alias("held"), F.sum(F.log("n")).alias("score"))
     prefix = F.slice(F.sort_array("held"), F.lit(1), F.size("held") - (MATCHES - 1))
-    return saved(held.where(F.size("held") >= MATCHES).select("digest", F.explode(prefix).alias("p")).select("p.pos", "p.value", "digest"), "postings")
+    rows = held.where(F.size("held") >= MATCHES).select("digest", "score", prefix.alias("prefix"))
+    posted = F.aggregate("prefix", F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["pos"])))
+    return saved(rows.select("digest", "score", posted.alias("posted"), F.explode("prefix").alias("p")).select("p.pos", "p.value", "digest", "score", "posted"), "postings")
+
+
+def _bounded(sign_a, sign_b, counts_a, counts_b, size_a, size_b, percent: int) -> np.ndarray:
+    """Which rows of pairs have MATCHES collisions and can be as similar as asked."""
+    agree = (sign_a == sign_b).sum(1) >= MATCHES
+    most = np.minimum(counts_a, counts_b).sum(1, dtype=np.int64) + np.minimum(size_a - counts_a.sum(1, dtype=np.int64), size_b - counts_b.sum(1, dtype=np.int64))
+    return agree & (100 * most >= percent * (size_a + size_b - most))
+
+
+def _arrays(batch: pa.RecordBatch, suffix: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, bucket counts and sizes of a batch of profiles."""
+    counts = np.frombuffer(b"".join(batch.column("counts" + suffix).to_pylist()), np.uint8).reshape(-1, BUCKETS)
+    return batch.column("sign" + suffix).flatten().to_numpy().reshape(-1, COORDINATES), counts, batch.column("size" + suffix).to_numpy().astype(np.int64)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with a column linked."""
-    a = sets.select(F.col("digest").alias("a"), F.col("sign").alias("sign_a"), F.col("shingles").alias("set_a"))
-    b = sets.select(F.col("digest").alias("b"), F.col("sign").alias("sign_b"), F.col("shingles").alias("set_b"))
-    agree = F.aggregate(F.zip_with("sign_a", "sign_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    """pairs (a, b) with a column linked. Full sets are joined only to pairs that the signatures and the bound let through."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                (sign_a, counts_a, size_a), (sign_b, counts_b, size_b) = _arrays(batch, "_a"), _arrays(batch, "_b")
+                keep = _bounded(sign_a, sign_b, counts_a, counts_b, size_a, size_b, percent)
+                yield batch.select(["a", "b"]).append_column("possible", pa.array(keep))
+
+    profile = lambda x: sets.select(F.col("digest").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("sign", "counts", "size")))
+    checked = saved(pairs.join(profile("a"), "a").join(profile("b"), "b").mapInArrow(possible, "a binary, b binary, possible boolean"), "checked")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    size = lambda c: F.size(c)
-    similar = 100 * common >= percent * (size("set_a") + size("set_b") - common)
-    # The sizes alone rule many out: the smaller set must hold that share of the larger.
-    near = 100 * F.least(size("set_a"), size("set_b")) >= percent * F.greatest(size("set_a"), size("set_b"))
-    linked: Column = F.when(near & (agree >= MATCHES), similar).otherwise(F.lit(False))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", linked.alias("linked"))
-
-
-def _open_sets(sets: DataFrame, marked: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """digest, size and the prefix (n, shingle) in the order of rarity, of the members of lists that can have a link."""
-    members = marked.join(lists.select("pos", "value").distinct(), ["pos", "value"], "left_semi").select("digest").distinct()
-    own = sets.join(members, "digest", "left_semi").select("digest", F.explode("shingles").alias("shingle"))
-    held = own.join(own.groupBy("shingle").agg(F.count("*").alias("n")), "shingle").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("held"))
-    held = held.withColumn("size", F.size("held"))
-    held = held.where(100 * F.size(F.filter("held", lambda x: x["n"] > 1)) >= percent * F.col("size"))
-    return saved(held.select("digest", "size", F.slice("held", F.lit(1), (F.col("size") - F.ceil(percent * F.col("size") / 100) + 1).cast("int")).alias("prefix")), "open")
-
-
-def _longest(marked: DataFrame, open_sets: DataFrame) -> DataFrame:
-    """Each open set in the longest of its lists."""
-    members = marked.join(open_sets.select("digest"), "digest", "left_semi")
-    sized = members.groupBy("pos", "value").agg(F.count("*").alias("n"))
-    best = members.join(sized, ["pos", "value"]).groupBy("digest", "label").agg(F.max(F.struct("n", "pos", "value")).alias("best"))
-    return best.select("best.pos", "best.value", "digest", "label")
-
-
-def _left(open_sets: DataFrame, labels: DataFrame, percent: int, wave: int) -> DataFrame:
-    """Pairs (digest, other) of open sets of different components that can be similar; one in `wave` of them."""
-    marked = open_sets.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    carried = F.when(F.size("prefix") <= CARRIED, F.col("prefix.shingle")).alias("carried")
-    post = marked.select("digest", "label", "size", carried, F.posexplode("prefix").alias("before", "p")).where("p.n > 1").select("digest", "label", "size", "carried", "before", "p.shingle")
-    post = saved(post, "prefixes")
-    # The component with most members of a list is on one side only, so that its members don't meet each other.
-    # Of equally large ones it is the one with the largest label, and a table, so that both sides of the join have the same.
-    main = post.groupBy("shingle", "label").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("n")).where("n > 1").select("shingle", "main")
-    main = saved(main, "mains")
-    a = post.join(main, "shingle")
-    b = a.where("label <> main").select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("digest", "label", "size", "carried", "before"))).withColumnRenamed("other_digest", "other")
-    once = F.coalesce(F.array_intersect("carried", "other_carried")[0] == F.col("shingle"), F.lit(True))
-    reach = F.least(F.col("size") - F.col("before"), F.col("other_size") - F.col("other_before"))
-    possible = (100 + percent) * reach >= percent * (F.col("size") + F.col("other_size"))
-    differ = (F.col("label") != F.col("other_label")) & ((F.col("label") == F.col("main")) | (F.col("label") < F.col("other_label")))
-    # A bound holds where the common shingle is the first one; without the carried prefixes that isn't known.
-    known = F.col("carried").isNotNull() & F.col("other_carried").isNotNull()
-    now = F.pmod(F.xxhash64(F.least("digest", "other"), F.greatest("digest", "other")), F.lit(wave)) == 0
-    return a.join(b, "shingle").where(differ & now & (possible | ~known) & once).select("digest", "other")
+    similar = 100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)
+    full = lambda x: sets.select(F.col("digest").alias(x), F.col("shingles").alias(f"set_{x}"))
+    links = checked.where("possible").join(full("a"), "a").join(full("b"), "b").select("a", "b", similar.alias("linked"))
+    return links.unionByName(checked.where("not possible").select("a", "b", F.lit(False).alias("linked")))
+
+
+def _central(marked: DataFrame) -> DataFrame:
+    """pos, value, other, other_label: the central member of each list of marked."""
+    best = F.max_by(F.struct("digest", "label"), F.struct("score", "digest")).alias("best")
+    return marked.groupBy("pos", "value").agg(best).select("pos", "value", F.col("best.digest").alias("other"), F.col("best.label").alias("other_label"))
+
+
+_PAIRS = "a binary, b binary"
+
+
+def _compare(percent: int):
+    """Pairs that can be linked, from blocks sorted by key: rows on side 0 meet all others."""
+
+    def found(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        pos = rows.column("pos")[0].as_py()
+        side = rows.column("side").to_numpy()
+        sign, counts, size = _arrays(rows)
+        digest = np.frombuffer(b"".join(rows.column("digest").to_pylist()), ">u8").reshape(-1, 2)
+        label = np.unique(np.frombuffer(b"".join(rows.column("label").to_pylist()), ">u8").reshape(-1, 2), axis=0, return_inverse=True)[1].ravel()
+        posted = rows.column("posted").to_numpy().view(np.uint64)
+        outside = rows.column("outside").to_numpy(zero_copy_only=False)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        lower = np.uint64((1 << pos) - 1)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(left), 256):
+            x = left[at : at + 256]
+            agree = np.zeros((len(x), len(right)), np.uint8)
+            for c in range(COORDINATES):
+                agree += sign[x, c][:, None] == sign[right, c]
+            i, j = np.nonzero((agree >= MATCHES) & (label[x][:, None] != label[right]))
+            i, j = x[i], right[j]
+            # Two members outside the largest component meet twice.
+            both = outside[j]
+            first = (digest[i, 0] < digest[j, 0]) | ((digest[i, 0] == digest[j, 0]) & (digest[i, 1] < digest[j, 1]))
+            i, j = i[~both | first], j[~both | first]
+            near = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+            i, j = i[near], j[near]
+            # Of the lists that both are posted in, only the first gives the pair.
+            earlier = posted[i] & posted[j] & lower
+            again = np.zeros(len(i), bool)
+            for c in range(pos):
+                again |= (earlier >> np.uint64(c) & np.uint64(1)).astype(bool) & (sign[i, c] == sign[j, c])
+            i, j = i[~again], j[~again]
+            for b in range(0, len(i), 8192):
+                p, q = i[b : b + 8192], j[b : b + 8192]
+                good = _bounded(sign[p], sign[q], counts[p], counts[q], size[p], size[q], percent)
+                out.append((p[good], q[good]))
+        if not any(len(p) for p, _ in out):
+            return None
+        i, j = map(np.concatenate, zip(*out))
+        return pa.RecordBatch.from_arrays([rows.column("digest").take(pa.array(i)), rows.column("digest").take(pa.array(j))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        def block() -> Iterator[pa.RecordBatch]:
+            if held:
+                pairs = found(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                if pairs is not None:
+                    yield pairs
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(c).to_numpy() for c in ("pos", "value", "row", "col")])
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+            for start, stop in zip(starts, np.r_[starts[1:], len(keys)]):
+                if tuple(keys[start]) != key:
+                    yield from block()
+                    held, key = [], tuple(keys[start])
+                held.append(batch.slice(start, stop - start))
+        yield from block()
+
+    return run
+
+
+def _left(marked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can be similar, from the blocks of all lists."""
+    by_label = marked.groupBy("pos", "value", "label").agg(F.count("*").alias("n"))
+    lists = by_label.groupBy("pos", "value").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("n_outside"))
+    lists = saved(lists.where("n_outside > 0").withColumns({"rows": F.ceil(F.col("n_outside") / BLOCK).cast("int"), "cols": F.ceil(F.col("all") / BLOCK).cast("int")}).drop("all", "n_outside"), "lists")
+    members = marked.join(lists, ["pos", "value"]).withColumn("outside", F.col("label") != F.col("main"))
+    h = F.xxhash64("digest")
+    row, col = F.pmod(h, F.col("rows")).cast("int"), F.pmod(F.shiftright(h, 20), F.col("cols")).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = ("pos", "value", "digest", "label", "posted", "outside")
+    left = members.where("outside").select(*own, F.lit(0).alias("side"), row.alias("row"), upto("cols").alias("col"))
+    right = members.select(*own, F.lit(1).alias("side"), upto("rows").alias("row"), col.alias("col"))
+    blocks = left.unionByName(right).join(sets.select("digest", "sign", "counts", "size"), "digest")
+    key = ("pos", "value", "row", "col")
+    return blocks.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare(percent), _PAIRS)
 
 
 def near_duplicate_links(signed: DataFrame, keyed: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """Links (a, b) between classes that connect each component; None if no class has a partner."""
+    """The component (node, label) of every class that can have a partner; None if no class can."""
     postings = _postings(signed)
     if postings.isEmpty():
         return None
     classes = postings.select("digest").distinct()
     sets = _sets(keyed, signed, classes, k)
     labels = saved(classes.select(F.col("digest").alias("node"), F.col("digest").alias("label")), "labels")
-    done, open_sets = None, None
-    last = len(PIVOTS) + len(WAVES) - 1
-    for turn in range(last + 1):
-        marked = saved(postings.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest")), "marked")
-        if open_sets is not None and turn < len(PIVOTS):
-            marked = saved(_longest(marked, open_sets), "marked")
-        lists = marked.groupBy("pos", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("pos", "value")
-        lists = saved(lists, "lists")
-        if lists.isEmpty():
-            if turn <= FULL:
-                break
-            continue  # other lists may be open
-        if turn == FULL:
-            open_sets = _open_sets(sets, marked, lists, percent)
-            marked = saved(_longest(marked, open_sets), "marked")
-        if turn < len(PIVOTS):
-            h = F.xxhash64("digest", F.lit(turn))
-            pivots = marked.join(lists, ["pos", "value"], "left_semi").groupBy("pos", "value", F.pmod(h, F.lit(PIVOTS[turn])).alias("slot")).agg(F.min(F.struct(h.alias("h"), F.col("digest"), F.col("label"))).alias("pivot"))
-            pivots = pivots.select("pos", "value", F.col("pivot.digest").alias("other"), F.col("pivot.label").alias("other_label"))
-            pairs = marked.join(pivots, ["pos", "value"]).where("label <> other_label")
+    done = None
+    for turn in range(PIVOTS + 1):
+        marked = postings.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+        if turn:
+            live = marked.groupBy("pos", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("pos", "value")
+            marked = marked.join(live, ["pos", "value"], "left_semi")
+        marked = saved(marked, "marked")
+        if marked.isEmpty():
+            break
+        if turn < PIVOTS:
+            outside = marked
+            for _ in range(turn):
+                outside = outside.join(_central(outside), ["pos", "value"]).where("label <> other_label").drop("other", "other_label")
+            pairs = marked.join(_central(outside), ["pos", "value"]).where("label <> other_label").select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).distinct()
         else:
-            pairs = _left(open_sets, labels, percent, WAVES[turn - len(PIVOTS)])
-        pairs = pairs.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).distinct()
+            pairs = _left(marked, sets, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         found = saved(_confirmed(pairs, sets, percent), "compared")
         done = found if done is None else done.unionByName(found)
-        if turn == last or not found.where("linked").isEmpty():
+        if not found.where("linked").isEmpty():
             labels = components(done.where("linked"))
     return labels
 
