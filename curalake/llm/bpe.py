@@ -17,7 +17,9 @@ labels of the arcs.
 Words are independent of each other, so documents are encoded in parallel with no shuffle, and each
 Python worker keeps the words it has met in a memo of fixed size.
 
-Defined results: null texts count as empty; empty texts have no tokens and decode to the empty text.
+Defined results: null texts count as empty; empty texts have no tokens and decode to the empty text; very long texts
+and words are encoded whole, in time that grows with their length; equal rows get equal results, one row each; an empty
+table gives no rows. Columns other than id and text are not read, so their names may clash with any here.
 """
 
 from __future__ import annotations
@@ -126,6 +128,7 @@ class WordBPE:
         symbols = [i for t, i in vocab.items() if t not in merged and t not in self.special]
         self.automaton = MergeAutomaton(symbols, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         self.labels = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.longest = 1  # symbols of the longest token
         self.start: dict = {}  # byte transitions: symbol to the next node; a node's token, if it has one, is under 0
         for text, i in vocab.items():
             if text not in self.special and self.automaton.reached(i):
@@ -139,6 +142,7 @@ class WordBPE:
         if self.end and text.endswith(self.end):
             symbols = list(text[: -len(self.end)])
             symbols[-1:] = [symbols[-1] + self.end] if symbols else [self.end]
+        self.longest = max(self.longest, len(symbols))
         node = self.start
         for s in symbols:
             node = node.setdefault(s, {})
@@ -157,7 +161,7 @@ class WordBPE:
         while i < n:
             if len(open_arcs) == len(path):
                 arcs, node, j = [], start, i
-                for s in symbols[i:] if i else symbols:
+                for s in symbols[i : i + self.longest]:
                     node = node.get(s)
                     if node is None:
                         break

@@ -64,23 +64,29 @@ def spare(df: DataFrame, name: str) -> str:
 
 
 class Memo(dict):
-    """A bounded memo of a function of one argument, read through [].
+    """A bounded memo of a function of one argument with a length, read through [].
 
-    Holds at most 2 * limit entries: those used since the last turn, and those of the turn before.
+    Holds at most 2 * limit entries with keys of 2 * LENGTH letters together: those used since the last turn, and those of the turn before.
     """
 
+    #: Letters of the keys of a turn, and of the longest key that is kept.
+    LENGTH, LONGEST = 1 << 24, 1 << 10
+
     def __init__(self, function, limit: int = 300_000):
         super().__init__()
-        self.function, self.limit, self.old = function, limit, {}
+        self.function, self.limit, self.length, self.old = function, limit, 0, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        if len(key) > self.LONGEST:
+            return self.function(key)
+        if len(self) >= self.limit or self.length >= self.LENGTH:
+            self.old, self.length = dict(self), 0
             self.clear()
         value = self.old.get(key)
         if value is None:
             value = self.function(key)
         self[key] = value
+        self.length += len(key)
         return value
 
 

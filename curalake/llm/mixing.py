@@ -15,8 +15,10 @@ is above is shared by weight among the others until none is above. That is the l
 in the order of cap to weight stop being full.
 
 Defined results: a null text has no words; documents of a null source form the last source; a document
-without words is never taken; equal rows are served one after the other; a source without words has target 0.
-Columns other than id, text and source are not read, and `mix` returns the columns of its input.
+without words is never taken; equal rows are served one after the other; ids and texts that are in several sources
+are served for each of them; a source without words has target 0; very long texts are counted whole; an empty table
+gives no rows. Columns other than id, text and source are not read, so their names may clash with any here, and `mix`
+returns the columns of its input.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curalake.llm.common import id_key, saved, spare, text_bytes
@@ -153,20 +155,30 @@ def fair_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"))
 
 
+def _source_key(column: str) -> Column:
+    """A source as a key that is never null."""
+    return F.when(F.col(column).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(column).cast("string")))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix: rows of docs, repeated or cut as taken, in the order of virtual finish time."""
-    taken = copies(_sized(docs, id_col, text_col, source_col)).groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("finish", "copy", "size", "taken"))).alias("takes"))
-    own, h, turn, take = spare(docs, "own_id"), spare(docs, "own_h"), spare(docs, "own_turn"), spare(docs, "own_take")
-    keyed = docs.withColumns({own: id_key(id_col), h: F.xxhash64(text_bytes(text_col))})
-    taken = taken.select(id_key("id").alias(own), F.col("h").alias(h), "takes")
-    # Rows that repeat id and text share their takes among them; almost always there is one.
-    again = keyed.groupBy(own, h).agg(F.count("*").alias("n")).where("n > 1")
-    single = keyed.join(again, [own, h], "left_anti").join(taken, [own, h]).withColumn(take, F.explode("takes")).drop("takes")
+    """The mix: rows of docs, repeated or cut as taken, in the order of virtual finish time.
+
+    Rows that share id, text and source share their takes: the first of them, by a hash of all columns, gets the first take.
+    """
+    own, h, key, turn, take = (spare(docs, c) for c in ("own_id", "own_h", "own_source", "own_turn", "own_take"))
+    takes = copies(_sized(docs, id_col, text_col, source_col)).withColumn("key", _source_key("source"))
+    takes = takes.groupBy("id", "h", "key").agg(F.sort_array(F.collect_list(F.struct("finish", "copy", "size", "taken"))).alias("takes"))
+    taken = takes.select(id_key("id").alias(own), F.col("h").alias(h), F.col("key").alias(key), "takes")
+    same = [own, h, key]
+    keyed = docs.withColumns({own: id_key(id_col), h: F.xxhash64(text_bytes(text_col)), key: _source_key(source_col)})
+    again = keyed.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1")
+    single = keyed.join(again, same, "left_anti").join(taken, same).withColumn(take, F.explode("takes")).drop("takes")
     if not again.isEmpty():
-        several = keyed.join(again, [own, h]).withColumn(turn, F.row_number().over(Window.partitionBy(own, h).orderBy(own)) - 1)
-        several = several.join(taken, [own, h]).select("*", F.posexplode("takes").alias("at", take)).where(F.col("at") % F.col("n") == F.col(turn))
+        order = Window.partitionBy(*same).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+        several = keyed.join(again, same).withColumn(turn, F.row_number().over(order) - 1)
+        several = several.join(taken, same).select("*", F.posexplode("takes").alias("at", take)).where(F.col("at") % F.col("n") == F.col(turn))
         single = single.unionByName(several.drop("takes", "n", "at", turn))
     parts = F.split(F.trim(F.regexp_replace(text_col, r"[\x20\x09-\x0D]+", " ")), " ")
     cut = F.when(F.col(f"{take}.taken") < F.col(f"{take}.size"), F.array_join(F.slice(parts, 1, F.col(f"{take}.taken").cast("int")), " ")).otherwise(F.col(text_col))
-    ordered = single.withColumn(text_col, cut).repartitionByRange(F.col(f"{take}.finish"), own).sortWithinPartitions(F.col(f"{take}.finish"), own)
+    ordered = single.withColumn(text_col, cut).repartitionByRange(F.col(f"{take}.finish"), own, key).sortWithinPartitions(F.col(f"{take}.finish"), own, key)
     return ordered.select(*docs.columns)

@@ -14,7 +14,9 @@ Labels are learned from a sample of at most SAMPLE labelled rows of each class,
 
 Defined results: null and empty texts have the prior score; labels that are null or of other documents
 are not used; without labels of both classes no document is toxic and the score is 0. Whether a label is
-held out depends on the id alone. Columns other than id and text are not read; `drop_toxic` returns all.
+held out depends on the id alone; of an id that is labelled twice the larger label counts; equal rows get equal scores;
+an empty table gives no rows. Very long texts and tokens are scored whole, in time that grows with their length. Columns
+other than id and text are not read, so their names may clash with any here; `drop_toxic` returns all.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -31,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curalake.llm.common import Memo, id_crc32, saved, spare, text_bytes
+from curalake.llm.common import Memo, id_crc32, saved, text_bytes
 
 #: Most labelled rows of each class that are learned from.
 SAMPLE = 6000
-#: Most terms kept.
-TERMS = 3000
+#: What a term must have: distinct toxic texts, and log-odds of toxic against clean.
+LEAST_TEXTS, LEAST_ODDS = 3, 3.0
+#: The prior log-odds stay below this (a share of 0.27), since labels are often drawn more evenly than documents are.
+MOST_PRIOR = -1.0
 PREFIXES = range(4, 8)
 THRESHOLD = 0.7
 
@@ -47,33 +52,60 @@ GAPS = " ._*-~'"
 
 _SIGN = re.escape("".join(SIGNS))
 _GAP = re.escape(GAPS)
-_DISGUISED = re.compile(
-    rf"(?<![^\W\d_])(?:[^\W\d_]|[{_SIGN}])(?:[{_GAP}](?:[^\W\d_]|[{_SIGN}])){{3,}}(?![^\W\d_])"  # spelled out in one token
-    rf"|[^\W\d_]*[^\W\d_{_SIGN}][{_SIGN}]+[^\W\d_](?:[^\W\d_]|[{_SIGN}])*"  # signs inside
-    rf"|[{_SIGN}][^\W\d_](?:[^\W\d_]|[{_SIGN}])+"  # a sign before
-    r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"  # a letter three times
-)
-_THREE = re.compile(r"(.)\1\1")
+#: Letters and signs spelled out in one token.
+_SPREAD = re.compile(rf"(?<![^\W\d_])(?:[^\W\d_]|[{_SIGN}])(?:[{_GAP}](?:[^\W\d_]|[{_SIGN}])){{3,}}(?![^\W\d_])")
+#: Letters and signs without gaps, and a sign between two letters.
+_CHUNK = re.compile(rf"(?:[^\W\d_]|[{_SIGN}]){{2,}}")
+_INSIDE = re.compile(rf"[^\W\d_][{_SIGN}]+[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")
+_THREE = re.compile(r"([^\W\d_])\1\1")
 #: Letters that stand alone, four or more in a row.
 _SPELLED = re.compile(rf"(?<!\S)(?:[^\W\d_]|[{_SIGN}])(?: (?:[^\W\d_]|[{_SIGN}])){{3,}}(?!\S)")
 #: Bytes to 64 symbols: 0 is the end of a word, 1-26 are letters, 32-63 are the bytes of other characters.
-_SYMBOL = np.zeros(256, np.int64)
+_SYMBOL = np.zeros(256, np.int32)
 _SYMBOL[ord("a") : ord("z") + 1] = _SYMBOL[ord("A") : ord("Z") + 1] = np.arange(1, 27)
 _SYMBOL[128:] = 32 + np.arange(128) % 32
 #: What isn't part of a word in ASCII becomes a space.
 _WORDS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
+#: Bytes of text that trigrams are counted in at once.
+PIECE = 1 << 20
+
+
+def disguised(token: str) -> Iterator[str]:
+    """The parts of a token that look disguised, in time that grows with its length."""
+    for m in _SPREAD.finditer(token):
+        yield m.group()
+    for m in _CHUNK.finditer(token):
+        chunk = m.group()
+        letter = _LETTER.search(chunk)
+        if letter is None:
+            continue
+        first = letter.start()
+        if first:  # the last sign before the letters
+            if len(chunk) - first > 1:
+                yield chunk[first - 1 :]
+        elif _INSIDE.search(chunk) or _THREE.search(chunk):
+            yield chunk
+
+
 def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Counts of symbol trigrams over all texts; at most 64 ** 3 rows come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 18, np.int64)
         for batch in batches:
-            s = _SYMBOL[np.frombuffer(b"  ".join([b"", *batch.column(0).to_pylist(), b""]), np.uint8)]
-            for at in range(0, len(s) - 2, 1 << 22):
-                part = s[at : at + (1 << 22) + 2]
-                total += np.bincount(part[:-2] << 12 | part[1:-1] << 6 | part[2:], minlength=1 << 18)
+            held: list[bytes] = []
+            size = 0
+            for text in batch.column(0):
+                text = text.as_py()
+                held += (b"  ", text)
+                size += len(text)
+                if size >= PIECE:
+                    _add_trigrams(b"".join([*held, b"  "]), total)
+                    held, size = [], 0
+            _add_trigrams(b"".join([*held, b"  "]), total)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
 
@@ -84,6 +116,13 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out
 
 
+def _add_trigrams(text: bytes, total: np.ndarray) -> None:
+    codes = np.frombuffer(text, np.uint8)
+    for at in range(0, len(codes) - 2, PIECE):
+        s = _SYMBOL[codes[at : at + PIECE + 2]]
+        total += np.bincount(s[:-2] << 12 | s[1:-1] << 6 | s[2:], minlength=1 << 18)
+
+
 def _model(counts: np.ndarray) -> np.ndarray:
     """P(c | a, b), backed off to P(c | b) and P(c)."""
     one = counts.sum((0, 1)) + 1
@@ -95,7 +134,7 @@ def _model(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ToxicityModel:
-    """What scoring needs; its size is bounded by TERMS and 64 ** 3."""
+    """What scoring needs; its size is bounded by the sample and 64 ** 3."""
 
     terms: dict[str, float]
     prior: float
@@ -115,25 +154,38 @@ class ToxicityModel:
         return max(own, key=self.terms.__getitem__) if own else None
 
     def restore(self, token: str) -> str:
-        """The likeliest word behind a disguised token."""
+        """The likeliest word behind a disguised token: the best path through the lattice of its signs, by Viterbi decoding."""
         lm = self.log_letters
-        beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # State (a, b), the last two symbols: the score of the best path there and its last letter, linked to those before.
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for k, c in enumerate(token):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            options = [(c, -0.1)] if c.isalpha() else [(x, -0.7) for x in SIGNS.get(c, "")]
-            skip = -0.3 if c in GAPS else (-1.0 if token[k - 2 : k] == c * 2 else -2.5) if k and c == token[k - 1] else -6.0 if not c.isalpha() else None
-            for (a, b), (score, word) in beam.items():
-                if skip is not None and (t := (score + skip, word)) > after.get((a, b), (-math.inf, "")):
-                    after[a, b] = t
-                for x, cost in options:
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            options, skip = self._choices(c, c == token[k - 1] if k else False, token[k - 2 : k] == c * 2 if k > 1 else False)
+            for (a, b), (score, word) in best.items():
+                if skip is not None and ((a, b) not in after or score + skip > after[a, b][0]):
+                    after[a, b] = score + skip, word
+                for x, cost, symbols in options:
                     p, q, s = a, b, score + cost
-                    for y in _SYMBOL[list(x.encode())]:
-                        s += float(lm[p, q, y])
-                        p, q = q, int(y)
-                    if (t := (s, word + x)) > after.get((p, q), (-math.inf, "")):
-                        after[p, q] = t
-            beam = after or beam
-        return max((score + float(lm[a, b, 0]), word) for (a, b), (score, word) in beam.items())[1]
+                    for y in symbols:
+                        s += lm.item(p, q, y)
+                        p, q = q, y
+                    if (p, q) not in after or s > after[p, q][0]:
+                        after[p, q] = s, (word, x)
+            best = after or best
+        _, word = max(((score + lm.item(a, b, 0), word) for (a, b), (score, word) in best.items()), key=lambda x: x[0])
+        letters = []
+        while word is not None:
+            word, x = word
+            letters.append(x)
+        return "".join(reversed(letters))
+
+    @staticmethod
+    @lru_cache(maxsize=4096)
+    def _choices(c: str, repeats: bool, third: bool) -> tuple[tuple[tuple[str, float, tuple[int, ...]], ...], float | None]:
+        """What a sign may stand for, with costs, and the cost of leaving it out (None: it can't be)."""
+        options = [(c, -0.1)] if c.isalpha() else [(x, -0.7) for x in SIGNS.get(c, "")]
+        skip = -0.3 if c in GAPS else (-1.0 if third else -2.5) if repeats else -6.0 if not c.isalpha() else None
+        return tuple((x, cost, tuple(_SYMBOL[list(x.encode())].tolist())) for x, cost in options), skip
 
 
 class Scorer:
@@ -148,7 +200,7 @@ class Scorer:
         words = token.encode().translate(_WORDS).decode().split()
         found = {self.model.term(w) for w in words}
         if not token.isalpha() or _THREE.search(token):
-            found.update(self.model.term(self.model.restore(m.group())) for m in _DISGUISED.finditer(token))
+            found.update(self.model.term(self.model.restore(x)) for x in disguised(token))
         found.discard(None)
         return tuple(found)
 
@@ -211,9 +263,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # Less one standard deviation, so that few documents don't make a term.
     odds = F.log((F.col("toxic") - F.sqrt("toxic")) / totals[1]) - F.log((F.col("clean") + 1) / totals[0])
-    enough = (F.col("toxic") >= 3) & (odds >= 3)
+    enough = (F.col("toxic") >= LEAST_TEXTS) & (odds >= LEAST_ODDS)
     by_doc = rows.mapInArrow(terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    strong = by_doc.where(enough).withColumn("odds", odds).orderBy(F.desc(F.col("odds") * F.col("toxic")), "term").limit(4 * TERMS).collect()
+    strong = sorted(by_doc.where(enough).withColumn("odds", odds).collect(), key=lambda r: (-r.odds * r.toxic, r.term))  # terms of the sample
     known = {r.term for r in strong}
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,9 +280,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # Near copies repeat the contexts of a term: it must be as strong when no class has more uses of it than contexts.
     around = rows.mapInArrow(contexts, "y int, term string, around string").distinct().groupBy("term").agg(F.count_if(F.col("y") == 1).alias("toxic"), F.count_if(F.col("y") == 0).alias("clean"))
-    around = around.where(enough).collect()  # 4 * TERMS rows at most
+    around = around.where(enough).collect()
     around = {r.term for r in around}
-    kept = [r for r in strong if r.term in around][:TERMS]
+    kept = [r for r in strong if r.term in around]
     # A beginning goes if a longer term has nearly all of its documents: the rest of its words are others.
     longer: dict[str, int] = {}
     for r in kept:
@@ -240,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 longer[word[:n] + "-"] = max(longer.get(word[:n] + "-", 0), r.toxic)
     kept = [r for r in kept if not r.term.endswith("-") or longer.get(r.term, 0) < 0.8 * r.toxic]
     share = labels.where(id_crc32(id_col) % 3 != 1).where(F.col(label_col).isin(0, 1)).agg(F.avg(label_col)).first()[0]
-    return ToxicityModel({r.term: r.odds for r in kept}, min(math.log(share / (1 - share)), -1.0), letter_counts(docs, text_col))
+    return ToxicityModel({r.term: r.odds for r in kept}, min(math.log(share / (1 - share)), MOST_PRIOR), letter_counts(docs, text_col))
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,12 +312,12 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The rows of docs that aren't predicted toxic, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col))
-    own = spare(docs, "own_text")
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value) if shared.value else None
         for batch in batches:
-            keep = [not scorer or scorer.score(x.as_py().decode()) < THRESHOLD for x in batch.column(own)]
-            yield batch.drop_columns([own]).filter(pa.array(keep, pa.bool_()))
+            keep = [not scorer or scorer.score(x.as_py() or "") < THRESHOLD for x in batch.column(at)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.withColumn(own, text_bytes(text_col)).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,10 @@
 """Learned operators: contracts, held-out accuracy and edge cases; and exact search."""
 
+import itertools
 import math
+import os
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -9,7 +13,7 @@ import pytest
 
 from curalake.llm import lm_scoring, quality, top_k, toxicity
 
-DATA = "/root/testdata/sf0.01"
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 def auc(y, s):
@@ -101,6 +105,58 @@ def test_disguises(token):
     assert scorer.score("the house and a total of 10 10 10") < 0.5
 
 
+def _letters(*words):
+    letters = np.zeros((64, 64, 64))
+    for w in words:
+        s = toxicity._SYMBOL[np.frombuffer(f" {w} ".encode(), np.uint8)]
+        np.add.at(letters, (s[:-2], s[1:-1], s[2:]), 100)
+    return letters
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    """Every way to read a short disguised token, scored by the channel and the character model."""
+    model = toxicity.ToxicityModel({"idiot": 8.0, "gib": 3.0}, -2.0, _letters("idiot", "the", "big", "total", "gloat"))
+    rng = random.Random(5)
+    for _ in range(200):
+        token = "".join(rng.choice("idot1034-.8g") for _ in range(rng.randrange(1, 7)))
+        readings = []
+        for k, c in enumerate(token):
+            options, skip = model._choices(c, k > 0 and c == token[k - 1], k > 1 and token[k - 2 : k] == c * 2)
+            readings.append([(x, cost) for x, cost, _ in options] + ([("", skip)] if skip is not None else []))
+        best = -math.inf
+        scores = {}
+        for path in itertools.product(*readings):
+            word, score = "".join(x for x, _ in path), sum(cost for _, cost in path)
+            a = b = 0
+            for y in toxicity._SYMBOL[list(word.encode())]:
+                score += float(model.log_letters[a, b, y])
+                a, b = b, int(y)
+            score += float(model.log_letters[a, b, 0])
+            scores[word] = max(scores.get(word, -math.inf), score)
+            best = max(best, score)
+        assert scores[model.restore(token)] == pytest.approx(best, abs=1e-3)
+
+
+@pytest.mark.parametrize("token", ["a" * 500_000 + "-" + "b" * 500_000, "ab" * 250_000 + "1" + "cd" * 250_000, "a-" * 500_000, "x" * 1_000_000, "1" * 1_000_000, "a1" * 500_000, "a b " * 250_000])
+def test_long_disguises(token):
+    scorer = toxicity.Scorer(toxicity.ToxicityModel({"idiot": 8.0}, -2.0, _letters("idiot", "the")))
+    began = time.monotonic()
+    assert scorer.hits(f"well {token} 1d10t then") == {"idiot"}
+    assert time.monotonic() - began < 30
+
+
+def test_letter_counts(spark, docs, rows, monkeypatch):
+    """Trigrams counted in small pieces are those of the whole texts."""
+    want = Counter()
+    for _, t, _ in rows:
+        s = toxicity._SYMBOL[np.frombuffer(b"  " + (t or "").encode() + b"  ", np.uint8)].tolist()
+        want.update(zip(s, s[1:], s[2:]))
+    for piece in (50, 1 << 20):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        got = toxicity.letter_counts(docs)
+        assert {k: n for k, n in want.items() if any(k)} == {(int(a), int(b), int(c)): got[a, b, c] for a, b, c in zip(*np.nonzero(got)) if a or b or c}
+
+
 def brute_top(rows, k):
     good = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
     out = []

@@ -1,6 +1,7 @@
 """Tokenizers, token files and mixing."""
 
 import hashlib
+import time
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -14,7 +15,7 @@ from tokenizers import Tokenizer
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from curalake.llm import bpe, token_files  # noqa: E402
-from curalake.llm.mixing import mix, mix_counts  # noqa: E402
+from curalake.llm.mixing import _sized, copies, mix, mix_counts  # noqa: E402
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ANY = st.one_of(st.text(max_size=40), st.text(alphabet="aab tThe'sdll.,!? \n\t\x1cÅΣé½1 ", max_size=40))
@@ -70,6 +71,18 @@ def test_gadgets_accept_what_merging_gives(pairs, text):
     assert list(paths(text, None)) == [ids]
 
 
+def test_long_words(word_library):
+    """A word of a million letters takes seconds, and has the tokens of the library."""
+    own = bpe.tokenizer(WORDS)
+    for letters in ("a", "abcdefg", "x1-"):
+        text = (letters * (1_000_000 // len(letters) + 1))[:1_000_000]
+        began = time.monotonic()
+        ids = own.encode(text)
+        assert time.monotonic() - began < 10
+        assert own.encode(text[:20_000]) == word_library.encode(text[:20_000], add_special_tokens=False).ids
+        assert "".join(own.decode(ids).split()).replace("</w>", "") == text
+
+
 def test_bpe_rows(docs, rows, none, word_library):
     def sha(x):
         return hashlib.sha256(x.encode()).hexdigest()
@@ -117,8 +130,8 @@ def test_mix(docs, rows, none):
     sizes, by_source = Counter(), defaultdict(int)
     for i, t, s in rows:
         by_source[s] += len((t or "").encode().split())
-        sizes[i, len((t or "").encode().split()), by_source is None] += 1
-    assert Counter((r.doc_id, r.size, False) for r in got) == sizes
+        sizes[i, len((t or "").encode().split())] += 1
+    assert Counter((r.doc_id, r.size) for r in got) == sizes
     total = sum(by_source.values())
     order = sorted(by_source, key=lambda s: (s is None, s))
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
@@ -150,6 +163,40 @@ def test_mix(docs, rows, none):
     assert mix_counts(none).count() == 0 and mix(none).count() == 0
 
 
+def test_mix_of_one_row_in_two_sources(spark):
+    """An id and text that two sources share are served for each of them."""
+    rows = [(1, "a b c d", "s1"), (1, "a b c d", "s2"), (2, "e f", "s1"), (2, "e f", "s1"), (3, "g h i j k", "s2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = Counter()
+    for r in copies(_sized(df, "doc_id", "text", "source")).collect():
+        taken[r.source] += r.taken
+    words = Counter()
+    for r in mix(df).collect():
+        words[r.source] += len(r.text.split())
+    assert words == taken
+
+
+def test_mix_order(spark):
+    """Brute force: copies in the order of finish time, each cut where its source reaches its target."""
+    rows = [(n, " ".join(f"t{n}_{k}" for k in range(n % 7)), f"s{n % 3}") for n in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    target = {r.doc_id: r.target for r in mix_counts(df).collect()}
+    queues = defaultdict(list)
+    for i, t, s in sorted(rows, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+        queues[s].append((i, t.split()))
+    want = []
+    for s, queue in queues.items():
+        clock = 0
+        for i, w in queue * 2:
+            goal = target[i]
+            kept = w[: max(0, int(goal) - clock)]
+            clock += len(w)
+            if kept:
+                want.append((clock / goal, i, " ".join(kept)))
+    got = [(r.doc_id, r.text) for r in mix(df).collect()]
+    assert got == [(i, t) for _, i, t in sorted(want)]
+
+
 def test_fair_queue(spark, docs, none, monkeypatch):
     """op7 takes what the queue over all sources serves: copies sorted by finish, a running total, the cut at the budget."""
     from curalake.llm import mixing, queries
