@@ -5,13 +5,13 @@ Each is one full outer join on the key, so both sides move once, and each column
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curalake.operators.ordering import numbered
+
 Rule = Callable[[Column, Column], Column]
 
 
@@ -87,23 +87,6 @@ def append_ordered(existing: DataFrame, incoming: DataFrame, parent: str) -> Dat
 
 
 def new_ids(existing: DataFrame, incoming: DataFrame, id_col: str, order: list[str]) -> DataFrame:
-    """Incoming rows with ids that follow the largest stored one.
-
-    Numbers come from sorted range partitions and their sizes, so no task holds all rows. The partitions are a table
-    in the shared folder: planned again, they could be others.
-    """
+    """Incoming rows with ids that follow the largest stored one, in the order given, which must be total."""
     last = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("m")).first()["m"]
-    placed = incoming.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    base = incoming.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/new-ids-{uuid.uuid4().hex}"
-    placed.write.parquet(path)
-    placed = incoming.sparkSession.read.schema(placed.schema).parquet(path)
-    sizes = placed.groupBy("_part").count().orderBy("_part").collect()  # a row for each partition
-    starts, seen = [], last
-    for r in sizes:
-        starts += [F.lit(r[0]), F.lit(seen)]
-        seen += r[1]
-    if not starts:
-        return incoming.select(F.lit(None).cast("long").alias(id_col), *incoming.columns)
-    number = F.create_map(*starts)[F.col("_part")] + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
-    return placed.select(number.cast("long").alias(id_col), *incoming.columns)
+    return numbered(incoming, order, id_col, last).select(id_col, *(c for c in incoming.columns if c != id_col))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curalake.sources.shared import stored
+
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
     """A page of rows; the order must be total."""
@@ -27,3 +29,34 @@ def capped(array: Column, cap: int) -> Column:
 def request_order(requested: DataFrame, df: DataFrame, key: str) -> DataFrame:
     """Rows of df in the order of requested (pos, key)."""
     return requested.join(df, key).orderBy("pos")
+
+
+def numbered(df: DataFrame, order: Sequence[str], out: str, after: int = 0) -> DataFrame:
+    """df with its rows numbered in the order given, from after + 1 on. The order must be total.
+
+    Numbers come from sorted range partitions and their sizes, so no task holds all rows. The partitions are a table
+    in the shared folder: planned again, they could be others.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    placed = stored(placed, "numbered")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", ahead.alias("_ahead"))
+    number = (F.col("_ahead") + F.col("_at") + 1 + after).cast("long")
+    return placed.join(F.broadcast(starts), "_part").select(*(F.col(c) for c in df.columns if c != out), number.alias(out))
+
+
+def confidence_order(confidence: Column, *ties: Column) -> list[Column]:
+    """The surest first, rows without a confidence last."""
+    return [F.desc_nulls_last(confidence), *ties]
+
+
+def flagged_first(flag: Column, *order: Column) -> list[Column]:
+    """Rows that have the flag first, each part in its own order."""
+    return [F.desc(F.coalesce(flag, F.lit(False))), *order]
+
+
+def listed(c: Column, names: Sequence[str]) -> Column:
+    """The place of a value in a list, behind all of them if it isn't there."""
+    place = F.array_position(F.array(*map(F.lit, names)), c)
+    return F.when(place > 0, place).otherwise(F.lit(len(names) + 1))

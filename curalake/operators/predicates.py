@@ -95,3 +95,21 @@ def confidence_verdict(confidence: Column, known: Column, update_floor: float, i
 def first_of(**reasons: Column) -> Column:
     """the reasons that hold, in the order given."""
     return F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in reasons.items())), lambda x: x.isNotNull())
+
+
+def grouped(df: DataFrame, groups: Sequence[tuple]) -> DataFrame:
+    """rows that every group lets through; a group is (column, rule, choices, options)."""
+    condition = F.lit(True)
+    for column, rule, chosen, options in groups:
+        condition = condition & rule(F.col(column), chosen, **options)
+    return df.where(condition)
+
+
+def visible(status: Column, hidden: Sequence[str], not_stated: str = "UNKNOWN") -> Column:
+    """whether a row is shown at first: its status, an absent one as not stated, is none of the hidden ones."""
+    return ~F.when(is_absent(status), F.lit(not_stated)).otherwise(F.upper(strip(status))).isin(*hidden)
+
+
+def summary(chosen: dict[str, Sequence[str]]) -> str:
+    """the active filters in words."""
+    return "; ".join(f"{name}: {', '.join(values)}" for name, values in chosen.items() if active(values) is not None)

@@ -113,12 +113,12 @@ def yes_no_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, label, CAST(CASE WHEN regexp_matches(label, '^(0?[1-9]|1[0-2])/[0-9]{4}$') THEN CAST(split_part(label, '/', 2) AS INTEGER) * 12 + CAST(split_part(label, '/', 1) AS INTEGER) - 1 END AS INTEGER) AS date_key
     FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '(unknown)' ELSE regexp_replace(strftime(o_orderdate, '%Y-%m'), '^([0-9]{4})-0?([0-9]{1,2})$', '\\2/\\1') END AS label FROM orders)
-    ORDER BY date_key NULLS LAST, o_orderkey LIMIT 100""")
+    ORDER BY date_key NULLS LAST, o_orderkey""")
 def completion_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By month of completion, rows without one last."""
     label = F.when(F.col("o_orderkey") % 3 == 0, S.UNKNOWN).otherwise(T.completion_label(F.date_format("o_orderdate", "yyyy-MM")))
     df = read(spark, sf_dir, "orders").select("o_orderkey", label.alias("label"))
-    return df.withColumn("date_key", T.month_year(F.col("label"))).orderBy(F.asc_nulls_last("date_key"), "o_orderkey").limit(100)
+    return df.withColumn("date_key", T.month_year(F.col("label"))).orderBy(F.asc_nulls_last("date_key"), "o_orderkey")
 
 
 _LOCATION = "CASE p_partkey % 5 WHEN 0 THEN 'Xq22.1' WHEN 1 THEN (p_size % 30) || 'q24.33-q25.1' WHEN 2 THEN '7q31.1x' ELSE (p_size % 25) || 'p' || (p_size % 9) END"

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -29,21 +28,45 @@ def read_json_rows(spark: SparkSession, path: str, schema: StructType) -> DataFr
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def append_checkpoint(df: DataFrame, path: str, fingerprint: str) -> None:
+    """Rows as lines of JSON in a batch of their own, then its header with a fingerprint; earlier batches aren't touched.
+
+    A batch counts from its header on, so one that was cut off isn't read.
+    """
+    batch = uuid.uuid4().hex
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.text(f"{path}/rows/batch={batch}")
+    df.sparkSession.createDataFrame([(batch, fingerprint)], "batch string, fingerprint string").write.mode("append").json(f"{path}/headers")
+
+
 def read_checkpoint(spark: SparkSession, path: str, schema: StructType, fingerprint: str) -> DataFrame:
-    """Lines of JSON behind a header with a fingerprint; another fingerprint gives no rows, a torn line is dropped."""
-    lines = spark.read.text(path).select(F.col("value"), F.input_file_name().alias("file"))
-    header = lines.select("file", F.get_json_object("value", "$.fingerprint").alias("own")).where("own is not null")
-    good = header.where(F.col("own") == fingerprint).select("file").distinct()
-    rows = lines.join(good, "file", "left_semi").where(F.get_json_object("value", "$.fingerprint").isNull())
-    whole = rows.where(F.expr("try_parse_json(value) is not null"))
-    return whole.select(F.from_json("value", schema).alias("r")).select("r.*")
+    """Rows of the batches whose header has the fingerprint; a torn line is dropped."""
+    good = spark.read.schema("batch string, fingerprint string").json(f"{path}/headers").where(F.col("fingerprint") == fingerprint).select("batch").distinct()
+    lines = spark.read.schema("value string, batch string").text(f"{path}/rows").join(F.broadcast(good), "batch", "left_semi")  # a row for each batch
+    return lines.where(F.expr("try_parse_json(value) is not null")).select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
-def append_checkpoint(df: DataFrame, path: str, fingerprint: str) -> None:
-    """Rows behind a header, as one more file of the folder; earlier files aren't touched."""
-    header = df.sparkSession.range(1).select(F.lit(json.dumps({"fingerprint": fingerprint})).alias("value"))
-    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
-    header.unionByName(rows).coalesce(1).write.mode("append").text(path)
+def prune_checkpoint(spark: SparkSession, path: str, schema: StructType, fingerprint: str, keys: DataFrame, key: str, to: str) -> None:
+    """The rows of a checkpoint without those of some keys, as a checkpoint at another path."""
+    append_checkpoint(read_checkpoint(spark, path, schema, fingerprint).join(keys.select(key), key, "left_anti").select(*schema.names), to, fingerprint)
+
+
+def append_event(df: DataFrame, path: str, kind: str) -> None:
+    """Rows as events of a kind behind those that are there."""
+    df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*df.columns)).alias("payload")).write.mode("append").parquet(path)
+
+
+def write_value(df: DataFrame, path: str) -> None:
+    """K2, K8: the one row of df as an object, or null if there is none; more than one fails."""
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("a single value is written, but there are more")
+    df.sparkSession.createDataFrame([(rows[0].value if rows else "null",)], "value string").write.mode("overwrite").text(path)
+
+
+def pending(state: DataFrame, now: Column, seconds: int) -> DataFrame:
+    """Saved rows (id, at, kind: saved or forgotten) that are the last of their id, young enough, and not forgotten."""
+    last = state.groupBy("id").agg(F.max_by(F.struct("at", "kind"), F.struct("at", "kind")).alias("_l")).select("id", "_l.*")
+    return last.where((F.col("kind") == "saved") & (F.col("at") >= now - F.make_dt_interval(secs=F.lit(seconds))))
 
 
 def write_rows(df: DataFrame, path: str) -> None:
@@ -58,7 +81,7 @@ def publish(frames: dict[str, DataFrame], folder: str) -> str:
     for name, df in frames.items():
         df.write.parquet(f"{folder}/{generation}/{name}")
     spark = next(iter(frames.values())).sparkSession
-    spark.createDataFrame([(generation, sorted(frames))], "generation string, tables array<string>").coalesce(1).write.mode("overwrite").json(f"{folder}/current")
+    spark.createDataFrame([(generation, list(frames))], "generation string, tables array<string>").write.mode("overwrite").json(f"{folder}/current")
     return generation
 
 

@@ -45,6 +45,17 @@ def fold(stream: DataFrame, keys: list[str], at: str, pos: str, value: str, chec
     return run
 
 
+def run_complete(df: DataFrame, path: str) -> DataFrame:
+    """The whole result of an aggregated stream as a table below path: each batch writes a generation, the last one counts."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out-{number:06d}")
+
+    q = df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out-{q.lastProgress['batchId']:06d}")
+
+
 def run_to_end(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Processes all that is there and returns it as a table below path."""
     q = df.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
