@@ -133,7 +133,7 @@ class WordBPE:
         for text, i in vocab.items():
             if text not in self.special and self.automaton.reached(i):
                 self._add(text, i)
-        self.pieces, self.words = Memo(self._piece, 150_000), Memo(self._word, 400_000)
+        self.pieces, self.words = Memo(self._piece, 50_000), Memo(self._word, 250_000)
         self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
 
     def _add(self, text: str, token: int) -> None:
@@ -216,6 +216,11 @@ class WordBPE:
         words = _WORDS.findall(text) if _SPLITS_MORE.search(text) else text.split()
         return list(chain.from_iterable(map(self.words.__getitem__, words)))
 
+    def forget(self) -> None:
+        """Empties the memos: a worker that goes on to other tasks keeps the automaton only."""
+        self.pieces.forget()
+        self.words.forget()
+
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.labels.__getitem__, ids))
 
@@ -254,13 +259,16 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         decimal = {i: str(i) for i in t.labels}.__getitem__
-        for batch in batches:
-            n, a, b = [], [], []
-            for text in batch.column(1):
-                ids = t.encode(text.as_py() or "")
-                n.append(len(ids))
-                a.append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
-                b.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in batches:
+                n, a, b = [], [], []
+                for text in batch.column(1):
+                    ids = t.encode(text.as_py() or "")
+                    n.append(len(ids))
+                    a.append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
+                    b.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            t.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -89,6 +89,10 @@ class Memo(dict):
         self.length += len(key)
         return value
 
+    def forget(self) -> None:
+        self.old, self.length = {}, 0
+        self.clear()
+
 
 #: Bits of a bit filter; fixed, so a filter stays at 2 MB for any input. A full one only lets more rows through.
 FILTER_BITS = 1 << 24

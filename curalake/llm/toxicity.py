@@ -193,7 +193,7 @@ class Scorer:
 
     def __init__(self, model: ToxicityModel):
         self.model = model
-        self.tokens = Memo(self._token, 300_000)
+        self.tokens = Memo(self._token, 150_000)
 
     def _token(self, token: str) -> tuple[str, ...]:
         """The terms of a token, those behind a disguise included."""
