@@ -30,28 +30,29 @@ def long_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(T.distinct_matches(F.col("text"), "[0-9]{5,}")), ",").alias("numbers"), F.size(F.regexp_extract_all("text", F.lit("[0-9]{5,}"), F.lit(0))).alias("found"))
 
 
-_CELL = "CASE p_partkey % 6 WHEN 0 THEN '123, 4567' WHEN 1 THEN 'PMID: 123 and 12345678' WHEN 2 THEN 'see 10.1000/12345678 in 1999' WHEN 3 THEN '2,606,365,833' WHEN 4 THEN 'https://pubmed.ncbi.nlm.nih.gov/777/ 7654321' ELSE NULL END"
+_CELL = """CASE p_partkey % 6 WHEN 0 THEN (p_partkey + 1) || ', ' || (p_size + 4000) WHEN 1 THEN 'PMID: ' || (p_partkey + 1) || ' and ' || (10000000 + p_partkey) WHEN 2 THEN 'see 10.1000/' || (10000000 + p_partkey) || ' in 1999'
+    WHEN 3 THEN (p_size + 1) || ',606,365 of ' || p_name WHEN 4 THEN 'https://pubmed.ncbi.nlm.nih.gov/' || (p_partkey + 1) || '/ ' || (7000000 + p_partkey) ELSE 'in ' || p_size || ' of ' || p_name END"""
 
 
-@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '123,4567' WHEN 1 THEN '123,12345678' WHEN 4 THEN '777,7654321' ELSE '' END AS ids FROM part")
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN (p_partkey + 1) || CASE WHEN p_partkey + 1 = p_size + 4000 THEN '' ELSE ',' || (p_size + 4000) END WHEN 1 THEN (p_partkey + 1) || ',' || (10000000 + p_partkey) WHEN 4 THEN (p_partkey + 1) || ',' || (7000000 + p_partkey) ELSE '' END AS ids FROM part""")
 def article_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X9."""
+    """Lists of numbers, labelled and linked ids, DOIs, numbers with thousands separators, short numbers in prose."""
     return read(spark, sf_dir, "part").select("p_partkey", F.array_join(T.pmids(F.expr(_CELL)), ",").alias("ids"))
 
 
-_TARGETS = "CASE p_partkey % 5 WHEN 0 THEN 'N/A' WHEN 1 THEN 'COL4A1/2; APP' WHEN 2 THEN 'monogenic disease: APP, app' WHEN 3 THEN 'PVRL2:CTB-1 / APOE; APOE' ELSE NULL END"
+_TARGETS = "CASE p_partkey % 5 WHEN 0 THEN 'N/A' WHEN 1 THEN 'COL' || p_size || 'A1/' || (p_size + 2) || '; APP' || p_partkey WHEN 2 THEN p_type || ' disease: ' || upper(p_name) || ', ' || p_name WHEN 3 THEN upper(p_type) || ':CTB-1 / APOE; APOE' ELSE NULL END"
 
 
-@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN 'COL4A1|COL4A2|APP' WHEN 2 THEN 'APP|app' WHEN 3 THEN 'PVRL2:CTB-1|APOE' ELSE '' END AS targets FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN 'COL' || p_size || 'A1|COL' || p_size || 'A' || (p_size + 2) || '|APP' || p_partkey WHEN 2 THEN upper(p_name) || '|' || p_name WHEN 3 THEN upper(p_type) || ':CTB-1|APOE' ELSE '' END AS targets FROM part")
 def target_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X11."""
+    """X11: nothing, pairs in shorthand, labels before symbols, other case, repeats."""
     return read(spark, sf_dir, "part").select("p_partkey", F.array_join(T.targets(F.expr(_TARGETS)), "|").alias("targets"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'a (b, c)|d' WHEN 1 THEN 'x ((y, z), w)|v' ELSE 'one' END AS parts FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || ' (' || p_brand || ', c)|' || p_type WHEN 1 THEN p_type || ' ((' || p_size || ', z), w)|' || p_name ELSE p_name END AS parts FROM part")
 def top_level_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X16."""
-    c = F.expr("CASE p_partkey % 3 WHEN 0 THEN 'a (b, c), d' WHEN 1 THEN 'x ((y, z), w) , v' ELSE 'one' END")
+    c = F.expr("CASE p_partkey % 3 WHEN 0 THEN p_name || ' (' || p_brand || ', c), ' || p_type WHEN 1 THEN p_type || ' ((' || p_size || ', z), w) , ' || p_name ELSE p_name END")
     return read(spark, sf_dir, "part").select("p_partkey", F.array_join(T.split_top_level(c), "|").alias("parts"))
 
 
@@ -69,10 +70,10 @@ def snake_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", T.snake_case(F.col("p_name")).alias("snake"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 1234 WHEN 2 THEN 12 END::BIGINT AS n, CASE p_partkey % 4 WHEN 1 THEN 0.5 WHEN 2 THEN 12 END::DOUBLE AS x, CASE p_partkey % 4 WHEN 3 THEN 1.5 END::DOUBLE AS low FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size * 1000 + 250 WHEN 2 THEN p_partkey END::BIGINT AS n, CASE p_partkey % 4 WHEN 1 THEN CAST('0.' || p_size AS DOUBLE) WHEN 2 THEN p_partkey END::DOUBLE AS x, CASE p_partkey % 4 WHEN 3 THEN CASE WHEN p_partkey % 8 = 3 THEN p_size + 0.5 END END::DOUBLE AS low FROM part""")
 def parsed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, decimals and intervals; anything else is null."""
-    c = F.expr("CASE p_partkey % 4 WHEN 0 THEN '1,234' WHEN 1 THEN ' 0.5' WHEN 2 THEN '12' ELSE '(1.5-2)' END")
+    """Counts, decimals and intervals; anything else, and an interval that runs backwards, is null."""
+    c = F.expr("CASE p_partkey % 4 WHEN 0 THEN p_size || ',250' WHEN 1 THEN ' 0.' || p_size WHEN 2 THEN p_partkey || '' ELSE CASE WHEN p_partkey % 8 = 3 THEN '(' || p_size || '.5-' || (p_size + 1) || ')' ELSE '(' || (p_size + 1) || '-' || p_size || '.5)' END END")
     return read(spark, sf_dir, "part").select("p_partkey", T.count_of(c).alias("n"), T.decimal_of(c).alias("x"), T.interval_of(c)["low"].alias("low"))
 
 

@@ -132,11 +132,12 @@ def test_as_of_before_first_start(spark):
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([(1, "a</b>"), (2, None)], "k int, v string")
     files.append_checkpoint(df, f"{tmp_path}/c", "f")
-    with open(next(p for p in (tmp_path / "c").iterdir() if p.name.startswith("part")), "a") as f:
+    rows = next((tmp_path / "c" / "rows").iterdir())
+    with open(next(p for p in rows.iterdir() if p.name.startswith("part")), "a") as f:
         f.write('{"k": 3, "v"')
-    (tmp_path / "c" / ".crc").unlink(missing_ok=True)
-    for p in (tmp_path / "c").glob(".*.crc"):
+    for p in rows.glob(".*.crc"):
         p.unlink()
+    spark.createDataFrame([('{"k": 9, "v": "cut off"}',)], "value string").write.text(f"{tmp_path}/c/rows/batch=torn")  # without a header
     assert values(files.read_checkpoint(spark, f"{tmp_path}/c", df.schema, "f"), "k", "v") == [(1, "a</b>"), (2, None)]
     assert files.read_checkpoint(spark, f"{tmp_path}/c", df.schema, "g").count() == 0
     files.write_rows(df, f"{tmp_path}/j")
@@ -167,3 +168,64 @@ def test_new_ids_over_many_partitions(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert len(got) == 20000 and {a for _, a in got} == {8}
+
+
+def test_page_texts(spark):
+    """The text of a page is what a parser finds outside scripts and styles."""
+    from html.parser import HTMLParser
+
+    from curalake import catalog
+    from tests.test_catalog import DATA
+
+    class Texts(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.skip = [], False
+
+        def handle_starttag(self, tag, attrs):
+            self.skip = tag in ("script", "style") or self.skip
+            self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            self.skip = self.skip and tag not in ("script", "style")
+            self.out.append(" ")
+
+        def handle_comment(self, data):
+            self.out.append(" ")
+
+        def handle_data(self, data):
+            self.out.append("" if self.skip else data)
+
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    for r in catalog.QUERIES["page_texts"](spark, DATA).collect():
+        own = Texts()
+        own.feed(html[r.page_id])
+        own.close()
+        assert r.plain.split() == "".join(own.out).split()
+        assert (r.html_chars, r.text_chars) == (len(html[r.page_id]), len(r.plain))
+
+
+def test_numbered(spark):
+    """Numbers follow the order over many partitions, and start after the last one."""
+    from curalake.operators import ordering
+
+    df = spark.createDataFrame([((n * 7919) % 1009, n) for n in range(1009)], "a long, b long").repartition(7)
+    got = {r.b: r.n for r in ordering.numbered(df, ["a"], "n", 100).collect()}
+    assert got == {n: (n * 7919) % 1009 + 101 for n in range(1009)}
+    assert ordering.numbered(df.limit(0), ["a"], "n").count() == 0
+
+
+def test_patches_that_disagree(spark):
+    from curalake.operators import sync
+
+    cells = spark.createDataFrame([(1, "a", "x"), (2, "a", "y")], "row int, col string, value string")
+    fix = spark.createDataFrame([(1, "a", "x", "z"), (1, "a", "x", "w")], "row int, col string, old string, new string")
+    with pytest.raises(Exception, match="corrections disagree"):
+        sync.patched(cells, fix, ["row", "col"]).collect()
+
+
+def test_settings():
+    from curalake.operators import studies
+
+    with pytest.raises(ValueError, match="version 1 instead of 2; floor is missing"):
+        studies.checked_settings({"version": 1}, 2, ["floor"])
