@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curalake.sources.shared import shared_folder
+
 #: Lower-cases A-Z in UTF-8 bytes and leaves every other byte alone.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -24,12 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(shared_path, "own", None)
-        if base is None:
-            base = shared_path.own = tempfile.mkdtemp(prefix="curalake-")
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return shared_folder(spark, tag)
 
 
 def saved(df: DataFrame, tag: str, **options: str) -> DataFrame:

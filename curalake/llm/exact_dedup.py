@@ -1,13 +1,16 @@
 """Exact deduplication through a log-structured merge index of text digests.
 
 Rows are buffered in memtables; each memtable is flushed as a run sorted by digest, written as
-Parquet with a Bloom filter on the digest. Compaction merges all runs by digest and keeps the
-smallest identifier. Rows whose digest is held more than once (hits, found with a bit filter of
-fixed size) are read again and compared byte by byte, so that a digest collision splits a group.
+Parquet with a Bloom filter on the digest. Compaction merges the entries of all runs by digest (each task
+reduces the runs that it reads before anything is shuffled, so a digest of a third of all rows is no hot key)
+and keeps the smallest identifier, again sorted and with filters: a look-up of single texts opens only the
+row groups whose filter has the digest. Rows whose digest is held more than once (hits, found with a bit filter
+of fixed size) are read again and compared byte by byte, so that a digest collision splits a group.
 
 Defined results: a null text counts as empty; a text of white space only equals any other such
-text; a null id orders after every id; of rows that repeat both id and text, one stays.
-Columns other than the id and the text are not read, so their names may clash with any here.
+text; a null id orders after every id; of rows that repeat both id and text, one stays; very long texts are
+digested whole; an empty table gives no rows. Columns other than the id and the text are not read, so their names
+may clash with any here.
 """
 
 from __future__ import annotations
@@ -94,9 +97,18 @@ class DigestIndex:
         """Merge all runs: for each digest the smallest identifier, the row that has it, and how many rows share the digest."""
         merged = self.entries().groupBy("digest").agg(F.min(F.struct("id", "run", "row_id")).alias("first"), F.count("*").alias("group_size"))
         path = f"{self.path}/level1/{len(self.runs):06d}"
-        merged.write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
+        merged.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
         return self.spark.read.schema(merged.schema).parquet(path)
 
+    def find(self, level1: DataFrame, texts: list[str]) -> dict[str, int]:
+        """The smallest identifier under the digest of each text that is held; the reader probes the filters of the compacted level."""
+        digests = {hashlib.sha256(normalise(t.encode())).hexdigest()[: self.digest_chars]: t for t in texts}
+        rows = None
+        for digest in digests:
+            part = level1.where(F.col("digest") == digest).select("digest", F.col("first.id").alias("id"))
+            rows = part if rows is None else rows.unionByName(part)
+        return {} if rows is None else {digests[r.digest]: r.id for r in rows.collect()}  # a row for each text asked for
+
     def _hits(self, level1: DataFrame) -> DataFrame:
         """Digest, id and normalised bytes of the rows whose digest is held more than once."""
         repeated = level1.where("group_size > 1").select("digest")

@@ -6,15 +6,17 @@ A linear model on features of the text minimises the non-negative unbiased risk
 
 with the logistic loss: P are trusted positives, U is web text whose labels aren't looked at, prior is the
 estimated share of positives. When the second part falls below zero, its gradient is followed upwards.
-The prior is the share of positives among the labels that may be learned from.
+The prior is the share of positives among the labels that may be learned from, kept between 0.05 and 0.98: with
+positive labels only it is 0.98, and every score is near that.
 
 P and U are samples of at most POSITIVES and UNLABELLED rows, in the order of a hash of the id; every
 document is scored. Features: counts of hashed byte trigrams, and shares of signs, capitals, repeats and
 distinct words over the whole text.
 
 Defined results: null and empty texts have the same features and score; labels that are null or of other
-documents are not used; without trusted positives or web text every score is 0.5. Columns other than id and
-text are not read.
+documents are not used; an id that repeats among the sampled ones is learned from once, by the smallest hash of its
+texts; without trusted positives or web text every score is 0.5; very long texts are read whole; equal rows get equal
+scores; an empty table gives no rows. Columns other than id and text are not read, so their names may clash with any here.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ POSITIVES = 6000
 UNLABELLED = 12000
 BUCKETS = 512
 THRESHOLD = 0.3
+#: The prior stays between these, so that labels of one class alone don't decide every score.
+LEAST_PRIOR, MOST_PRIOR = 0.05, 0.98
 _KINDS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n\r", b"\t", b".", b",", b"!", b"?", b"|", b"#$%&*~^", b"\"'`", b"()[]{}<>", b":;", b"-_=+/\\@", bytes(range(128, 256))]
 _KIND = np.zeros((256, len(_KINDS)))
 for _k, _bytes in enumerate(_KINDS):
@@ -83,6 +87,22 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def risks(theta: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk: of positives, and what is left of unlabelled rows as negatives (before it is cut at 0)."""
+    zp, zu = p @ theta, u @ theta
+    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+
+def gradients(theta: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """The gradients of both parts."""
+    zp, zu = p @ theta, u @ theta
+    return -prior * (_logistic(-zp) @ p) / len(p), (_logistic(zu) @ u) / len(u) - prior * (_logistic(zp) @ p) / len(p)
+
+
 def minimise_risk(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, batch: int = 1024, rate: float = 0.01, decay: float = 1e-3, seed: int = 0) -> QualityModel:
     """The model of least non-negative risk, by Adam on batches."""
     rng = np.random.default_rng(seed)
@@ -92,14 +112,10 @@ def minimise_risk(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600,
     theta = np.zeros(p.shape[1])
     theta[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
     for step in range(1, steps + 1):
         a, b = p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)]
-        za, zb = a @ theta, b @ theta
-        negative = np.logaddexp(0, zb).mean() - prior * np.logaddexp(0, za).mean()
-        down = (logistic(zb) @ b) / batch - prior * (logistic(za) @ a) / batch
-        up = -prior * (logistic(-za) @ a) / batch
-        grad = (up + down if negative >= 0 else -down) + decay * np.r_[theta[:-1], 0]
+        up, down = gradients(theta, a, b, prior)
+        grad = (up + down if risks(theta, a, b, prior)[1] >= 0 else -down) + decay * np.r_[theta[:-1], 0]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return QualityModel(mean, scale, theta[:-1], float(theta[-1]))
@@ -126,10 +142,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = docs.where(learn).select(key.alias("id")).where("id is not null").select("id", h.alias("h")).orderBy("h", "id").limit(UNLABELLED)
     web = F.broadcast(ids.dropDuplicates(["id"]))  # UNLABELLED rows at most
     texts = docs.where(learn).select(key.alias("id"), text_bytes(text_col).alias("text"))
-    p, u = _features(texts.join(trusted, "id")), _features(texts.join(web, "id"))
+    # One row for an id that repeats, so that the bounds on ids hold for rows.
+    one = lambda sample: texts.join(sample, "id").groupBy("id", "h").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    p, u = _features(one(trusted)), _features(one(web))
     if not len(p) or not len(u):
         return None
-    prior = min(max(share, 0.05), 0.98)
+    prior = min(max(share, LEAST_PRIOR), MOST_PRIOR)
     return minimise_risk(p.astype(np.float64), u.astype(np.float64), prior)
 
 

@@ -12,14 +12,16 @@ document with a smaller id.
   read that occurs in the automaton, reaches LENGTH, the words of the match are removed; then the segment
   is added to the automaton. Equal segments are answered without it.
 * The automata of all documents together have no size bound, so they are placed with the segments of their
-  anchor by a shuffle instead of being broadcast. An anchor with more than HOT segments is not gathered at
-  all: its windows are compared as 128-bit hashes, with a minimum that is aggregated before the shuffle.
+  anchor by a shuffle instead of being broadcast. An anchor with more than HOT segments or HOT_WINDOWS windows is not
+  gathered at all: its windows are compared as 128-bit hashes, with a minimum that is aggregated before the shuffle.
+  Both ways remove the same words.
 
 Windows are judged on the input, not on what is left after other removals.
 
 Defined results: a null text has no words; documents of fewer than LENGTH words stay whole; documents with the
 same id don't remove words from each other, unless their words are equal, when they get the same result; a null
-id comes last. Columns other than id and text are not read.
+id comes last; very long texts are read whole, and one that repeats a line is one segment; an empty table gives no rows.
+Columns other than id and text are not read, so their names may clash with any here.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ from curalake.llm.common import LAST_ID, id_key, saved, text_bytes
 
 LENGTH = 50
 GRAM = 15
-#: Most segments of an anchor that are gathered in one task.
-HOT = 2000
+#: Most segments of an anchor that are gathered in one task, and most windows that they have together, so that long segments don't fill it.
+HOT, HOT_WINDOWS = 2000, 200_000
 
 _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -264,8 +266,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table = saved(keyed.mapInArrow(_anchors(length), _RUNS), "runs")
     firsts = table.where("anchor is null").groupBy("h1", "h2").agg(F.min("id").alias("smallest"))
     runs = table.where("anchor is not null").select("h1", "h2", "anchor", "first", "last")
-    live = runs.groupBy("anchor").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count("*").alias("n")).where("low < high")
-    live = live.select("anchor", (F.col("n") > hot).alias("hot"))
+    live = runs.groupBy("anchor").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count("*").alias("n"), F.sum(F.col("last") - F.col("first") + 1).alias("windows")).where("low < high")
+    live = live.select("anchor", ((F.col("n") > hot) | (F.col("windows") > hot * (HOT_WINDOWS // HOT))).alias("hot"))
     lists = runs.join(live, "anchor").groupBy("h1", "h2").agg(F.collect_set(F.struct("anchor", "first", "last", "hot")).alias("runs"))
     plan = firsts.join(lists, ["h1", "h2"], "left")
 

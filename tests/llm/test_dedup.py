@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from curalake.llm import near_dedup, substring_dedup
-from curalake.llm.exact_dedup import drop_exact_duplicates, exact_duplicates, normalise
+from curalake.llm.exact_dedup import DigestIndex, drop_exact_duplicates, exact_duplicates, normalise
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 SPACE = r"[\x20\x09-\x0D]+"
@@ -45,6 +45,13 @@ def test_exact(docs, rows, chars):
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_exact_find(docs):
+    """Single texts are looked up in the compacted level."""
+    index = DigestIndex(docs.sparkSession)
+    index.append(docs)
+    assert index.find(index.compact(), ["one", "The cat  sat on the mat and then it went home again today", "not there"]) == {"one": 6, "The cat  sat on the mat and then it went home again today": 1}
+
+
 def test_exact_drop(docs, rows, none):
     out = drop_exact_duplicates(docs)
     assert out.columns == docs.columns
@@ -197,7 +204,7 @@ def brute_passages(rows, n):
     return Counter(out)
 
 
-@pytest.mark.parametrize("length,hot", [(50, 2000), (50, 1), (5, 2000), (20, 0)])
+@pytest.mark.parametrize("length,hot", [(50, 2000), (50, 1), (5, 2000), (20, 0), (20, 3)])
 def test_passages(docs, rows, none, length, hot):
     got = substring_dedup.remove_repeats(docs, length=length, hot=hot).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_passages([(i, t) for i, t, _ in rows], length)

@@ -67,6 +67,59 @@ def test_quality(spark, tables, docs, none):
     assert (quality.features(b"") == 0).all()
 
 
+def test_risk_and_gradient():
+    """The parts of the risk by their definition, and their gradients against finite differences."""
+    rng = np.random.default_rng(1)
+    p, u, theta, prior = rng.normal(size=(7, 4)), rng.normal(size=(9, 4)), rng.normal(size=4), 0.3
+    loss = lambda rows, sign: np.mean([math.log(1 + math.exp(-sign * (r @ theta))) for r in rows])
+    assert quality.risks(theta, p, u, prior) == pytest.approx((prior * loss(p, 1), loss(u, -1) - prior * loss(p, -1)))
+    for part, grad in enumerate(quality.gradients(theta, p, u, prior)):
+        for k in range(4):
+            step = np.eye(4)[k] * 1e-6
+            slope = (quality.risks(theta + step, p, u, prior)[part] - quality.risks(theta - step, p, u, prior)[part]) / 2e-6
+            assert grad[k] == pytest.approx(slope, abs=1e-6)
+
+
+def test_quality_of_a_repeated_id(spark):
+    """An id that repeats is learned from once, so that no more rows than the bounds come to the driver."""
+    rows = [(1, f"copy {n}") for n in range(50)] + [(n, f"text {n}") for n in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(n, n % 2, 0) for n in range(1, 30)], "doc_id long, quality int, toxic int")
+    seen = []
+    keep = quality._features
+    try:
+        quality._features = lambda rows: seen.append(rows.count()) or keep(rows)
+        quality.fit(docs, labels)
+    finally:
+        quality._features = keep
+    assert seen and max(seen) <= 29
+
+
+def test_lm_scores_directly(spark, monkeypatch):
+    """The score of a text by the formula, token by token, from the parameters that were trained."""
+    texts = ["the cat sat on the mat", "a cat sat", "the dog", None, "the unseen zebra sat"]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts * 6)], "doc_id long, text string")
+    held = []
+    inner = lm_scoring._parts
+    monkeypatch.setattr(lm_scoring, "_parts", lambda rows, p, vocab: held.append((p, vocab)) or inner(rows, p, vocab))
+    got = {r.doc_id: r.score for r in lm_scoring.scores(docs).collect()}
+    p, vocab = held[0]
+    classes = vocab.classes()
+    place = {w: k for k, w in enumerate(vocab.frequent)}
+    n = dict(zip(vocab.frequent, vocab.counts.tolist()))
+    for i, t in enumerate(texts * 6):
+        c1 = c2 = 0
+        total = 0.0
+        for w in [*(t or "").encode().lower().split(), b""]:
+            c = int(classes[place[w]]) if w in place else lm_scoring.shared_class(w)
+            logits = (p.r[c1] @ p.a + p.r[c2] @ p.b) @ p.q.T + p.bias
+            total += (logits[c] - np.log(np.exp(logits).sum())) / math.log(10)
+            if c > lm_scoring.TOP:
+                total += math.log10((n.get(w, 0) + 1) / (vocab.class_counts[c] + vocab.class_words[c] + 1))
+            c1, c2 = c, c1
+        assert got[i] == pytest.approx(total, abs=1e-6)
+
+
 def test_toxicity(spark, tables, docs, none):
     model = toxicity.fit(*tables)
     y, s, p = held_out(spark, toxicity.score(tables[0], model), "toxic")
