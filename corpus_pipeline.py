@@ -2,11 +2,15 @@
 
 run() writes the result of each stage to the shared folder as Parquet and reads it as the next stage's docs.
 All stages but the last return the columns of documents.
+
+Defined results: a null text counts as empty in each stage; empty texts aren't toxic, are one group of exact copies, are
+linked with nothing, and have no words for the mix, so they end there; texts are read whole however long they are; of
+rows that repeat id and text one stays; a null id comes after every id; a null source is the last source; empty tables
+give empty results; other columns are carried along whatever they are called.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from curalake.llm.bpe import round_trip_digests
@@ -14,6 +18,7 @@ from curalake.llm.common import saved, table
 from curalake.llm.exact_dedup import drop_exact_duplicates
 from curalake.llm.mixing import mix
 from curalake.llm.near_dedup import drop_near_duplicates
+from curalake.llm.queries import tokenizer_file
 from curalake.llm.toxicity import drop_toxic
 
 
@@ -39,7 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and decoded text of each document, as digests."""
-    return round_trip_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return round_trip_digests(docs, tokenizer_file("word_bpe_49k.json"))
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("bpe", bpe)]
