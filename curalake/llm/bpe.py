@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from curalake.llm.common import Memo
+from curalake.llm.common import Memo, give_back
 
 #: White space as Unicode has it; str.split() also splits at \x1c-\x1f, which are not white space.
 _SPLITS_MORE = re.compile("[\x1c-\x1f]")
@@ -216,11 +216,6 @@ class WordBPE:
         words = _WORDS.findall(text) if _SPLITS_MORE.search(text) else text.split()
         return list(chain.from_iterable(map(self.words.__getitem__, words)))
 
-    def forget(self) -> None:
-        """Empties the memos: a worker that goes on to other tasks keeps the automaton only."""
-        self.pieces.forget()
-        self.words.forget()
-
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.labels.__getitem__, ids))
 
@@ -257,18 +252,17 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Encodes and decodes in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        t = WordBPE(path)  # compiled for the task, and gone with it
         decimal = {i: str(i) for i in t.labels}.__getitem__
-        try:
-            for batch in batches:
-                n, a, b = [], [], []
-                for text in batch.column(1):
-                    ids = t.encode(text.as_py() or "")
-                    n.append(len(ids))
-                    a.append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
-                    b.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        finally:
-            t.forget()
+        for batch in batches:
+            n, a, b = [], [], []
+            for text in batch.column(1):
+                ids = t.encode(text.as_py() or "")
+                n.append(len(ids))
+                a.append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
+                b.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        del t, decimal
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

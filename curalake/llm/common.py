@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from contextlib import suppress
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,9 +88,13 @@ class Memo(dict):
         self.length += len(key)
         return value
 
-    def forget(self) -> None:
-        self.old, self.length = {}, 0
-        self.clear()
+
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: Spark keeps its Python workers, and the next stage needs the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library keeps what it has
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 #: Bits of a bit filter; fixed, so a filter stays at 2 MB for any input. A full one only lets more rows through.

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curalake.llm.common import LAST_ID, LOWER, bit_filter, components, filter_bit, id_key, saved, spare, text_bytes
+from curalake.llm.common import LAST_ID, LOWER, bit_filter, components, filter_bit, give_back, id_key, saved, spare, text_bytes
 
 COORDINATES = 64
 MATCHES = 36
@@ -98,6 +98,7 @@ def _signed(keyed: DataFrame, k: int) -> DataFrame:
                 digests.append(_digest(s) if len(s) else None)
                 signs.append(signature(s).view(np.int32) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.list_(pa.int32()))], ["id", "n_shingles", "digest", "sign"])
+        give_back()
 
     return saved(keyed.mapInArrow(run, "id long, n_shingles long, digest binary, sign array<int>"), "signed")
 
@@ -125,6 +126,7 @@ def _sets(keyed: DataFrame, signed: DataFrame, classes: DataFrame, k: int) -> Da
                         counts.append(bucket_counts(s).tobytes())
             if digests:
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(counts, pa.binary())], ["digest", "shingles", "counts"])
+        give_back()
 
     sets = keyed.select(filter_bit("id").alias("bit"), "text").mapInArrow(run, "digest binary, shingles array<long>, counts binary")
     sets = sets.groupBy("digest").agg(F.first(F.struct("shingles", "counts")).alias("s")).select("digest", "s.shingles", "s.counts", F.size("s.shingles").alias("size"))
@@ -250,6 +252,8 @@ def _compare(percent: int):
                     held, key = [], tuple(keys[start])
                 held.append(batch.slice(start, stop - start))
         yield from block()
+        held.clear()
+        give_back()
 
     return run
 

@@ -12,12 +12,14 @@ gives every query a first k-th best score. Then every partition is processed in
   (Cauchy-Schwarz), bounds each product from above, and only pairs whose bound reaches the k-th best score are
   multiplied out, in exact integers.
 
-Each task gives at most k rows for a query; a window over them gives the result.
+Each task gives at most k rows for a query; a window over them gives the result. A block is a pass over all vectors
+that multiplies each of them with QUERIES queries, so reading is the small part of it; the hits of all blocks are one table.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part; shorter
 vectors count as padded with zeros; rows that repeat an id are candidates each, and as a query the id is
 asked once, with its smallest vector; a null id is a candidate, after all others in a tie, and no query.
-Scores beyond 64 bits are cut to the largest or smallest long. Columns other than id and vector are not read.
+Scores beyond 64 bits are cut to the largest or smallest long; an empty table gives no rows. Columns other than id and
+vector are not read, so their names may clash with any here.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curalake.llm.common import LAST_ID, saved
+from curalake.llm.common import LAST_ID, saved, shared_path
 
 SCALE = 1024
 #: Queries broadcast together.
@@ -168,7 +170,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     asked = table.where(F.col("key") != LAST_ID).where(F.pmod("key", F.lit(every)) == 0).groupBy("key").agg(F.min("x").alias("x"))
     n_blocks = -(-asked.count() // QUERIES)
     asked = saved(asked.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(max(1, n_blocks))).cast("int")), "queries")
-    hits = None
+    hits = shared_path(spark, "hits")
     for number in range(n_blocks):
         q = sorted((r.key, r.x) for r in asked.where(F.col("block") == number).collect())  # about QUERIES rows
         if not q:
@@ -184,9 +186,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
         place = {key: n for n, key in enumerate(ids.tolist())}
         for r in kth:
             block.least[place[r.query_id]] = r.least
-        part = saved(table.select("key", "x").mapInArrow(_search(spark.sparkContext.broadcast(block), k, width), _HITS), "hits")
-        hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
+        table.select("key", "x").mapInArrow(_search(spark.sparkContext.broadcast(block), k, width), _HITS).write.mode("append").parquet(hits)
+    if not n_blocks:
         return empty
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.when(F.col("key") != LAST_ID, F.col("key")).alias("vec_id"), "score")
+    return spark.read.schema(_HITS).parquet(hits).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.when(F.col("key") != LAST_ID, F.col("key")).alias("vec_id"), "score")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curalake.llm.common import Memo, id_crc32, saved, text_bytes
+from curalake.llm.common import Memo, give_back, id_crc32, saved, text_bytes
 
 #: Most labelled rows of each class that are learned from.
 SAMPLE = 6000
@@ -108,6 +108,7 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             _add_trigrams(b"".join([*held, b"  "]), total)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
+        give_back()
 
     rows = docs.select(text_bytes(text_col).alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     out = np.zeros((64, 64, 64))
@@ -260,6 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     yield counts()
         if held[0] or held[1]:
             yield counts()
+        give_back()
 
     # Less one standard deviation, so that few documents don't make a term.
     odds = F.log((F.col("toxic") - F.sqrt("toxic")) / totals[1]) - F.log((F.col("clean") + 1) / totals[0])
@@ -304,6 +306,8 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
         for batch in batches:
             s = [scorer.score(x.as_py().decode()) if scorer else 0.0 for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+        del scorer
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (id_crc32(id_col) % 3 == 1).alias("held_out"), text_bytes(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -319,5 +323,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for batch in batches:
             keep = [not scorer or scorer.score(x.as_py() or "") < THRESHOLD for x in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        del scorer
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
