@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from curalake.functions import evidence as E
 from curalake.functions import text as T
 from curalake.operators import records, studies
-from curalake.plans.registry import query, read
+from curalake.plans.registry import query, read, typed
 
 
 @query("""SELECT p_partkey, p_name AS title, CASE WHEN p_partkey % 3 > 0 THEN p_brand || ' AB, Smith C' END AS authors, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '19' || (10 + p_size) ELSE '20' || (10 + p_size) END AS year, CASE WHEN p_partkey % 2 = 0 THEN '10.1000/' || p_partkey END AS doi, p_type || ' first & second' AS body FROM part""")
@@ -26,7 +26,7 @@ def column_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, label string, wire string")
 
 
-@query("""SELECT c_custkey, CASE upper(trim(c_mktsegment)) WHEN 'BUILDING' THEN 'HOUSES' WHEN 'MACHINERY' THEN 'TOOLS' ELSE c_mktsegment END AS k, to_json(list_distinct([c_mktsegment, c_name])) AS stored FROM customer""".replace("to_json(list_distinct([c_mktsegment, c_name]))", "to_json([c_mktsegment, c_name])"))
+@query(typed("""SELECT c_custkey, CASE upper(trim(c_mktsegment)) WHEN 'BUILDING' THEN 'HOUSES' WHEN 'MACHINERY' THEN 'TOOLS' ELSE c_mktsegment END AS k, to_json(list_distinct([c_mktsegment, c_name])) AS stored FROM customer""".replace("to_json(list_distinct([c_mktsegment, c_name]))", "to_json([c_mktsegment, c_name])"), stored="VARCHAR"))
 def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys by their alias, others as they are; a distinct list as it is stored."""
     own = F.concat(F.lit(" "), F.lower("c_mktsegment"))
@@ -81,10 +81,10 @@ def page_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.service(read(spark, sf_dir, "pages").select("page_id", "url"), "url", prefixes).select("page_id", "service")
 
 
-@query("""WITH a AS (SELECT l_partkey % 200 AS subject, l_suppkey % 7 AS voter, l_linenumber % 2 AS version, ROW(l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pos, l_orderkey AS day, CASE l_returnflag WHEN 'A' THEN 'yes' WHEN 'R' THEN 'no' ELSE 'pass' END AS answer FROM lineitem),
+@query(typed("""WITH a AS (SELECT l_partkey % 200 AS subject, l_suppkey % 7 AS voter, l_linenumber % 2 AS version, ROW(l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pos, l_orderkey AS day, CASE l_returnflag WHEN 'A' THEN 'yes' WHEN 'R' THEN 'no' ELSE 'pass' END AS answer FROM lineitem),
     c AS (SELECT subject, max(version) AS now FROM a GROUP BY 1), l AS (SELECT a.subject, a.voter, arg_max(answer, pos) AS v FROM a JOIN c ON a.subject = c.subject AND a.version = c.now GROUP BY ALL),
     t AS (SELECT subject, count_if(v = 'yes') AS yes, count_if(v = 'no') AS no, max(v) FILTER (voter = 0) AS ruling FROM l GROUP BY 1)
-    SELECT t.subject, yes, no, CASE WHEN ruling IN ('yes', 'no') THEN 'chair: ' || ruling WHEN yes >= 5 THEN 'accepted' WHEN no >= 5 THEN 'rejected' ELSE 'open' END AS standing, c.last.l_orderkey AS last_day FROM t JOIN c ON c.subject = t.subject""".replace("c.last.l_orderkey", "(SELECT max(day) FROM a WHERE a.subject = t.subject)"))
+    SELECT t.subject, yes, no, CASE WHEN ruling IN ('yes', 'no') THEN 'chair: ' || ruling WHEN yes >= 5 THEN 'accepted' WHEN no >= 5 THEN 'rejected' ELSE 'open' END AS standing, c.last.l_orderkey AS last_day FROM t JOIN c ON c.subject = t.subject""".replace("c.last.l_orderkey", "(SELECT max(day) FROM a WHERE a.subject = t.subject)"), yes="BIGINT", no="BIGINT"))
 def review_rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest answers to the current version, the chair's alone where there is one, and the last activity."""
     answer = F.when(F.col("l_returnflag") == "A", "yes").when(F.col("l_returnflag") == "R", "no").otherwise("pass")

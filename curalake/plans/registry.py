@@ -23,5 +23,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def typed(sql: str, **types: str) -> str:
+    """The SQL with some of its columns in the types that Spark gives them."""
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in types.items())}) FROM ({sql})"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

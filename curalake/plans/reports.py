@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curalake.functions import wording as W
 from curalake.operators import reports
-from curalake.plans.registry import query, read
+from curalake.plans.registry import query, read, typed
 
 #: The distinct values of a list in the order of their first places, in DuckDB.
 _FIRSTS = "array_to_string(list_filter({0}, lambda x, i: list_position({0}, x) = i), '|')"
@@ -74,13 +74,13 @@ def step_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.step_records(v, ["view", "click", "purchase", "publish"]).select("ord", "step", "started", "seconds", "error", "status")
 
 
-@query("""SELECT o_orderpriority AS kind, CASE WHEN bool_or(o_totalprice > 499000) THEN NULL ELSE count(*) END AS n, CASE o_orderpriority WHEN '2-HIGH' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END AS ord FROM orders GROUP BY 1""")
+@query(typed("""SELECT o_orderpriority AS kind, CASE WHEN bool_or(o_totalprice > 499000) THEN NULL ELSE count(*) END AS n, CASE o_orderpriority WHEN '2-HIGH' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END AS ord FROM orders GROUP BY 1""", ord="BIGINT"))
 def rejection_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by kind in the declared order, unknown where a list was cut."""
     return reports.by_kind(read(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "kind"), "kind", ["2-HIGH", "1-URGENT"], F.col("o_totalprice") > 499000).select("kind", "n", "ord")
 
 
-@query("""SELECT l_returnflag AS source, count(DISTINCT l_partkey) AS keys, count_if(l_discount > 0.05) AS verbatim, count_if(l_tax > 0.02) AS cited, count_if(l_discount > 0.05) / count(*) AS share FROM lineitem GROUP BY 1""")
+@query(typed("""SELECT l_returnflag AS source, count(DISTINCT l_partkey) AS keys, count_if(l_discount > 0.05) AS verbatim, count_if(l_tax > 0.02) AS cited, count_if(l_discount > 0.05) / count(*) AS share FROM lineitem GROUP BY 1""", verbatim="BIGINT", cited="BIGINT"))
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys, verbatim and cited quotes of each source."""
     return reports.provenance(read(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "source"), ["source"], "l_partkey", F.col("l_discount") > 0.05, F.col("l_tax") > 0.02)
@@ -205,7 +205,7 @@ def greedy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.greedy_chunks(df, "l_orderkey", "i", "q", 3, 60)
 
 
-@query("SELECT l_orderkey, kind, added, removed, CASE kind WHEN 'added' THEN 'new row' WHEN 'removed' THEN 'row goes' ELSE CASE WHEN added + removed = 0 THEN 'no value changes' ELSE concat_ws(', ', CASE WHEN added > 0 THEN 'adds ' || added || CASE added WHEN 1 THEN ' value' ELSE ' values' END END, CASE WHEN removed > 0 THEN 'drops ' || removed || CASE removed WHEN 1 THEN ' value' ELSE ' values' END END) END END AS headline FROM (SELECT l_orderkey, CASE WHEN l_orderkey % 10 = 0 THEN 'added' WHEN l_orderkey % 10 = 1 THEN 'removed' ELSE 'changed' END AS kind, count_if(l_returnflag = 'A') AS added, count_if(l_returnflag = 'R') AS removed FROM lineitem GROUP BY 1)")
+@query(typed("SELECT l_orderkey, kind, added, removed, CASE kind WHEN 'added' THEN 'new row' WHEN 'removed' THEN 'row goes' ELSE CASE WHEN added + removed = 0 THEN 'no value changes' ELSE concat_ws(', ', CASE WHEN added > 0 THEN 'adds ' || added || CASE added WHEN 1 THEN ' value' ELSE ' values' END END, CASE WHEN removed > 0 THEN 'drops ' || removed || CASE removed WHEN 1 THEN ' value' ELSE ' values' END END) END END AS headline FROM (SELECT l_orderkey, CASE WHEN l_orderkey % 10 = 0 THEN 'added' WHEN l_orderkey % 10 = 1 THEN 'removed' ELSE 'changed' END AS kind, count_if(l_returnflag = 'A') AS added, count_if(l_returnflag = 'R') AS removed FROM lineitem GROUP BY 1)", added="BIGINT", removed="BIGINT"))
 def change_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Z22."""
     kind = F.when(F.col("l_orderkey") % 10 == 0, "added").when(F.col("l_orderkey") % 10 == 1, "removed").otherwise("changed")

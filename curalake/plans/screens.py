@@ -9,7 +9,7 @@ from curalake.functions import evidence as E
 from curalake.functions import sentinel as S
 from curalake.functions import text as T
 from curalake.operators import ordering, predicates, studies
-from curalake.plans.registry import query, read
+from curalake.plans.registry import query, read, typed
 
 
 @query("SELECT n_nationkey, n_name FROM nation")
@@ -107,7 +107,7 @@ def _select_items(sql: str) -> list[str]:
     return items
 
 
-@query(f"""SELECT registry, count(*) AS n, count_if(coalesce(status, 'UNKNOWN') NOT IN ('COMPLETED', '(unknown)', 'UNKNOWN')) AS visible, 'registry: NCT, jRCT; status: UNKNOWN' AS summary FROM ({_TRIAL}) WHERE registry <> 'ISRCTN' AND coalesce(status, '(unknown)') = '(unknown)' GROUP BY 1""")
+@query(typed(f"""SELECT registry, count(*) AS n, count_if(coalesce(status, 'UNKNOWN') NOT IN ('COMPLETED', '(unknown)', 'UNKNOWN')) AS visible, 'registry: NCT, jRCT; status: UNKNOWN' AS summary FROM ({_TRIAL}) WHERE registry <> 'ISRCTN' AND coalesce(status, '(unknown)') = '(unknown)' GROUP BY 1""", visible="BIGINT"))
 def facility_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rows of some states, those that are shown at first, and the filter in words."""
     df = read(spark, sf_dir, "orders").selectExpr(*_select_items(_TRIAL))
@@ -149,9 +149,9 @@ def study_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.agent_rows(_studies(spark, sf_dir), ["DRUG", "BIOLOGICAL"]).select("id", "agent")
 
 
-@query("""WITH l AS (SELECT o_orderkey AS id, 'p1' AS place, o_custkey % 100 + 0.5 AS lat, 10.0 AS lon FROM orders UNION ALL SELECT o_orderkey, 'p2', NULL, 20.0 FROM orders UNION ALL SELECT o_orderkey, 'p3', -5.0, o_custkey % 200 FROM orders),
+@query(typed("""WITH l AS (SELECT o_orderkey AS id, 'p1' AS place, o_custkey % 100 + 0.5 AS lat, 10.0 AS lon FROM orders UNION ALL SELECT o_orderkey, 'p2', NULL, 20.0 FROM orders UNION ALL SELECT o_orderkey, 'p3', -5.0, o_custkey % 200 FROM orders),
     g AS (SELECT *, coalesce(lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180, false) AS good FROM l)
-    SELECT id, count_if(good) AS kept, count_if(NOT good) AS dropped, string_agg(place, ',' ORDER BY place) FILTER (good) AS places FROM g GROUP BY id""")
+    SELECT id, count_if(good) AS kept, count_if(NOT good) AS dropped, string_agg(place, ',' ORDER BY place) FILTER (good) AS places FROM g GROUP BY id""", kept="BIGINT", dropped="BIGINT"))
 def facility_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """facilities with coordinates, and how many were dropped."""
     rows, dropped = studies.facility_rows(_studies(spark, sf_dir))

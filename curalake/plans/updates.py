@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curalake.operators import sync
-from curalake.plans.registry import query, read
+from curalake.plans.registry import query, read, typed
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'second' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 4 <> 1 UNION ALL SELECT o_orderkey, 'only' FROM orders WHERE o_orderkey % 4 = 1""")
@@ -89,8 +89,8 @@ def merged_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.rectangle(df, "top", "bottom", "left", "right")
 
 
-@query("""WITH k AS (SELECT DISTINCT o_custkey AS k FROM orders), c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0), f AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0)
-    SELECT count_if(k IN (SELECT k FROM c)) AS cached, count_if(k NOT IN (SELECT k FROM c) AND k IN (SELECT k FROM f)) AS fetched, count_if(k NOT IN (SELECT k FROM c) AND k NOT IN (SELECT k FROM f)) AS failed FROM k""")
+@query(typed("""WITH k AS (SELECT DISTINCT o_custkey AS k FROM orders), c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0), f AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0)
+    SELECT count_if(k IN (SELECT k FROM c)) AS cached, count_if(k NOT IN (SELECT k FROM c) AND k IN (SELECT k FROM f)) AS fetched, count_if(k NOT IN (SELECT k FROM c) AND k NOT IN (SELECT k FROM f)) AS failed FROM k""", cached="BIGINT", fetched="BIGINT", failed="BIGINT"))
 def cache_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that are cached, fetched, and not found."""
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
