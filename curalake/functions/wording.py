@@ -93,9 +93,9 @@ def citation_lines(c: Column) -> Column:
 
 
 def located(text: Column, quote: Column) -> Column:
-    """Where a quote stands in a text, word by word and whatever the white space and signs; 0 if it doesn't."""
+    """Where a quote stands among the words of a text, whatever the white space and signs; 0 if it doesn't."""
     words = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    return F.when(F.trim(words(quote)) == "", F.lit(0)).otherwise(F.locate(words(quote), words(text))) if isinstance(quote, str) else F.when(F.trim(words(quote)) == "", F.lit(0)).otherwise(F.call_function("locate", words(quote), words(text)))
+    return F.when(F.trim(words(quote)) == "", F.lit(0)).otherwise(F.call_function("locate", words(quote), words(text)))
 
 
 def without_back_matter(c: Column, heading: str) -> Column:

@@ -76,7 +76,7 @@ def fresh_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = read(spark, sf_dir, "orders")
     now = cache.agg(F.max("o_orderdate")).first()[0]
     keys = read(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("o_custkey"))
-    return lookup.fresh(cache, keys, "o_custkey", "o_orderdate", F.lit(now), 900, ("o_orderpriority",)).select("o_orderkey", "o_custkey")
+    return lookup.fresh(cache, keys, "o_custkey", "o_orderdate", F.lit(now).cast("timestamp_ntz"), 900, ("o_orderpriority",)).select("o_orderkey", "o_custkey")
 
 
 _T = "(SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE c_mktsegment END AS segment, c_custkey % 3 = 0 AS flag, 'A;' || c_nationkey AS tags, c_acctbal AS balance FROM customer WHERE c_custkey % 5 <> 0)"
