@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curalake.llm.common import LAST_ID, SPACE, id_key, saved, shared_path, spare, text_bytes
+from curalake.llm.common import LAST_ID, SPACE, give_back, id_key, saved, shared_path, spare, text_bytes
 
 #: Entries of a memtable before it is flushed as a run.
 MEMTABLE = 50_000
@@ -65,6 +65,7 @@ def _flush(digest_chars: int):
                     yield run()
         if table:
             yield run()
+        give_back()
 
     return runs
 
@@ -129,6 +130,7 @@ class DigestIndex:
                         out.append((digest, key, norm))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.binary()))], ["digest", "id", "norm"])
+            give_back()
 
         hits = None
         for docs in self.appended:

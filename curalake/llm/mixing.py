@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curalake.llm.common import id_key, saved, spare, text_bytes
+from curalake.llm.common import give_back, id_key, saved, spare, text_bytes
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -45,6 +45,7 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
         for batch in batches:
             n = pa.array([len(x.as_py().split()) for x in batch.column(4)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], n], ["id", "source", "h", "shuffle", "size"])
+        give_back()
 
     text = text_bytes(text_col)
     shuffle = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
