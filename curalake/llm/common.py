@@ -31,6 +31,10 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return shared_folder(spark, tag)
 
 
+#: For tables of hashes, which don't get smaller: a compressor's buffers outside the heap are only freed when the heap is collected.
+PLAIN = {"compression": "uncompressed"}
+
+
 def saved(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, and losing an executor loses nothing."""
     spark = df.sparkSession
@@ -121,13 +125,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest label around every node and then the label of that label. Labels are a table in the shared folder.
     """
-    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
+    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", **PLAIN)
+    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels", **PLAIN)
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         mine = labels.withColumnRenamed("label", "before").join(near, F.col("node") == F.col("a")).select("node", "before", F.least("before", "near").alias("mid"))
         far = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        after = saved(mine.join(far, "mid").select("node", "before", F.least("mid", "far").alias("label")), "labels")
+        after = saved(mine.join(far, "mid").select("node", "before", F.least("mid", "far").alias("label")), "labels", **PLAIN)
         labels = after.select("node", "label")
         if after.where("label < before").isEmpty():
             return labels

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curalake.llm.common import LAST_ID, LOWER, bit_filter, components, filter_bit, give_back, id_key, saved, spare, text_bytes
+from curalake.llm.common import LAST_ID, LOWER, PLAIN, bit_filter, components, filter_bit, give_back, id_key, saved, spare, text_bytes
 
 COORDINATES = 64
 MATCHES = 36
@@ -100,7 +100,7 @@ def _signed(keyed: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.list_(pa.int32()))], ["id", "n_shingles", "digest", "sign"])
         give_back()
 
-    return saved(keyed.mapInArrow(run, "id long, n_shingles long, digest binary, sign array<int>"), "signed")
+    return saved(keyed.mapInArrow(run, "id long, n_shingles long, digest binary, sign array<int>"), "signed", **PLAIN)
 
 
 def bucket_counts(shingles: np.ndarray) -> np.ndarray:
@@ -130,7 +130,7 @@ def _sets(keyed: DataFrame, signed: DataFrame, classes: DataFrame, k: int) -> Da
 
     sets = keyed.select(filter_bit("id").alias("bit"), "text").mapInArrow(run, "digest binary, shingles array<long>, counts binary")
     sets = sets.groupBy("digest").agg(F.first(F.struct("shingles", "counts")).alias("s")).select("digest", "s.shingles", "s.counts", F.size("s.shingles").alias("size"))
-    return saved(sets.join(wanted.groupBy("digest").agg(F.first("sign").alias("sign")), "digest"), "sets")
+    return saved(sets.join(wanted.groupBy("digest").agg(F.first("sign").alias("sign")), "digest"), "sets", **PLAIN)
 
 
 def _postings(signed: DataFrame) -> DataFrame:
@@ -139,13 +139,13 @@ def _postings(signed: DataFrame) -> DataFrame:
     score is larger for a class whose pairs are frequent, posted has the bit of each coordinate in the prefix.
     """
     classes = signed.where("digest is not null").groupBy("digest").agg(F.first("sign").alias("sign"))
-    pairs = saved(classes, "classes").select("digest", F.posexplode("sign").alias("pos", "value"))
+    pairs = saved(classes, "classes", **PLAIN).select("digest", F.posexplode("sign").alias("pos", "value"))
     shared = pairs.groupBy("pos", "value").agg(F.count("*").alias("n")).where("n > 1")
     held = pairs.join(shared, ["pos", "value"]).groupBy("digest").agg(F.collect_list(F.struct("n", "pos", "value")).alias("held"), F.sum(F.log("n")).alias("score"))
     prefix = F.slice(F.sort_array("held"), F.lit(1), F.size("held") - (MATCHES - 1))
     rows = held.where(F.size("held") >= MATCHES).select("digest", "score", prefix.alias("prefix"))
     posted = F.aggregate("prefix", F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["pos"])))
-    return saved(rows.select("digest", "score", posted.alias("posted"), F.explode("prefix").alias("p")).select("p.pos", "p.value", "digest", "score", "posted"), "postings")
+    return saved(rows.select("digest", "score", posted.alias("posted"), F.explode("prefix").alias("p")).select("p.pos", "p.value", "digest", "score", "posted"), "postings", **PLAIN)
 
 
 def _bounded(sign_a, sign_b, counts_a, counts_b, size_a, size_b, percent: int) -> np.ndarray:
@@ -172,7 +172,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield batch.select(["a", "b"]).append_column("possible", pa.array(keep))
 
     profile = lambda x: sets.select(F.col("digest").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("sign", "counts", "size")))
-    checked = saved(pairs.join(profile("a"), "a").join(profile("b"), "b").mapInArrow(possible, "a binary, b binary, possible boolean"), "checked")
+    checked = saved(pairs.join(profile("a"), "a").join(profile("b"), "b").mapInArrow(possible, "a binary, b binary, possible boolean"), "checked", **PLAIN)
     common = F.size(F.array_intersect("set_a", "set_b"))
     similar = 100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)
     full = lambda x: sets.select(F.col("digest").alias(x), F.col("shingles").alias(f"set_{x}"))
@@ -262,7 +262,7 @@ def _left(marked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that can be similar, from the blocks of all lists."""
     by_label = marked.groupBy("pos", "value", "label").agg(F.count("*").alias("n"))
     lists = by_label.groupBy("pos", "value").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("n_outside"))
-    lists = saved(lists.where("n_outside > 0").withColumns({"rows": F.ceil(F.col("n_outside") / BLOCK).cast("int"), "cols": F.ceil(F.col("all") / BLOCK).cast("int")}).drop("all", "n_outside"), "lists")
+    lists = saved(lists.where("n_outside > 0").withColumns({"rows": F.ceil(F.col("n_outside") / BLOCK).cast("int"), "cols": F.ceil(F.col("all") / BLOCK).cast("int")}).drop("all", "n_outside"), "lists", **PLAIN)
     members = marked.join(lists, ["pos", "value"]).withColumn("outside", F.col("label") != F.col("main"))
     h = F.xxhash64("digest")
     row, col = F.pmod(h, F.col("rows")).cast("int"), F.pmod(F.shiftright(h, 20), F.col("cols")).cast("int")
@@ -282,14 +282,14 @@ def near_duplicate_links(signed: DataFrame, keyed: DataFrame, k: int, percent: i
         return None
     classes = postings.select("digest").distinct()
     sets = _sets(keyed, signed, classes, k)
-    labels = saved(classes.select(F.col("digest").alias("node"), F.col("digest").alias("label")), "labels")
+    labels = saved(classes.select(F.col("digest").alias("node"), F.col("digest").alias("label")), "labels", **PLAIN)
     done = None
     for turn in range(PIVOTS + 1):
         marked = postings.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
         if turn:
             live = marked.groupBy("pos", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("pos", "value")
             marked = marked.join(live, ["pos", "value"], "left_semi")
-        marked = saved(marked, "marked")
+        marked = saved(marked, "marked", **PLAIN)
         if marked.isEmpty():
             break
         if turn < PIVOTS:
@@ -301,7 +301,7 @@ def near_duplicate_links(signed: DataFrame, keyed: DataFrame, k: int, percent: i
             pairs = _left(marked, sets, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        found = saved(_confirmed(pairs, sets, percent), "compared")
+        found = saved(_confirmed(pairs, sets, percent), "compared", **PLAIN)
         done = found if done is None else done.unionByName(found)
         if not found.where("linked").isEmpty():
             labels = components(done.where("linked"))
@@ -324,7 +324,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
         rows = rows.withColumn("label", F.col("digest"))
     else:
         rows = rows.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    rows = saved(rows.drop("digest"), "labelled")
+    rows = saved(rows.drop("digest"), "labelled", **PLAIN)
     least = rows.where("label is not null").groupBy("label").agg(F.min("id").alias("component"))
     return rows.join(least, "label", "left").withColumn("component", F.coalesce("component", "id"))
 
@@ -333,7 +333,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col:
     """The rows of docs of which none with a smaller id is a near duplicate, with all their columns. Of rows with one id and one set of shingles, one stays."""
     own = spare(docs, "own_id")
     out = _grouped(docs, k, percent, id_col, text_col)
-    fate = saved(out.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("id") == F.col("component")).alias("n_kept")).where("n > 1 or n_kept = 0"), "fate")
+    fate = saved(out.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("id") == F.col("component")).alias("n_kept")).where("n > 1 or n_kept = 0"), "fate", **PLAIN)
     keyed = docs.withColumn(own, id_key(id_col))
     left = keyed.join(fate.where("n_kept = 0").select(F.col("id").alias(own)), own, "left_anti")
     mixed = fate.where("n_kept > 0").select(F.col("id").alias(own))
