@@ -19,7 +19,7 @@ def url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text of each page, and how much of the markup that is. The pattern looks back, so there is no SQL."""
+    """The text of each page, and how much of the markup that is. The pattern looks back, so there is no SQL; a test holds it against a parser."""
     text = T.plain_html(F.col("html"))
     return read(spark, sf_dir, "pages").select("page_id", text.alias("plain"), F.length("html").cast("long").alias("html_chars"), F.length(text).cast("long").alias("text_chars"))
 

@@ -91,7 +91,7 @@ _S = "(SELECT c_custkey, c_mktsegment || '!' AS segment, c_custkey % 2 = 0 AS fl
     CASE WHEN t.c_custkey IS NULL THEN 'insert' WHEN s.c_custkey IS NULL THEN 'keep' ELSE 'update' END AS change
     FROM {_T} t FULL JOIN {_S} s ON t.c_custkey = s.c_custkey""")
 def upsert_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fill blanks only, once true stays true, ordered union, new unless null but for frozen rows."""
+    """Fill blanks only, once true stays true, ordered union, new unless null but for frozen rows."""
     target, source = (spark.sql(f"SELECT * FROM {x}".replace("FROM customer", "FROM {customer}"), customer=read(spark, sf_dir, "customer")) for x in (_T, _S))
     rules = {"segment": merge.fill_blank, "flag": merge.either, "tags": merge.union_in_order(), "balance": merge.coalesce_new}
     return merge.upsert(target, source, "c_custkey", rules, frozen=F.col("t.flag"), frozen_columns=("balance",))

@@ -1,4 +1,4 @@
-"""Selection, search, sorting and pages."""
+"""Selection, search, sorting and pages."""
 
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ def _filtered(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {_FILTERED} SELECT * FROM f WHERE contains(lower(c_name), '00') ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25 OFFSET 25")
 def table_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filter, search, sort and the second page of 25."""
+    """Filter, search, sort and the second page of 25."""
     found = predicates.search(_filtered(_orders(spark, sf_dir)), "00", ["c_name"])
     return ordering.page(found, [F.desc_nulls_last("o_totalprice"), F.col("o_orderkey")], 2, 25)
 

@@ -61,7 +61,7 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def published_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K4, K5: tables published together and read through the pointer."""
+    """K4: tables published together and read through the pointer."""
     folder = shared_folder(spark, "publish")
     files.publish({"nation": read(spark, sf_dir, "nation"), "region": read(spark, sf_dir, "region")}, folder)
     return files.published(spark, folder, "nation")
