@@ -40,7 +40,17 @@ def saved(df: DataFrame, tag: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, tag)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing reads any more: what was made from them is a saved table itself."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(name: str = "text") -> Column:
@@ -128,10 +138,13 @@ def components(edges: DataFrame) -> DataFrame:
     both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", **PLAIN)
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels", **PLAIN)
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        mine = labels.withColumnRenamed("label", "before").join(near, F.col("node") == F.col("a")).select("node", "before", F.least("before", "near").alias("mid"))
-        far = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
+        held = labels.select("node", "label")
+        near = both.join(held, both["b"] == held["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        mine = held.withColumnRenamed("label", "before").join(near, F.col("node") == F.col("a")).select("node", "before", F.least("before", "near").alias("mid"))
+        far = held.select(F.col("node").alias("mid"), F.col("label").alias("far"))
         after = saved(mine.join(far, "mid").select("node", "before", F.least("mid", "far").alias("label")), "labels", **PLAIN)
-        labels = after.select("node", "label")
+        discard(labels)
+        labels = after
         if after.where("label < before").isEmpty():
+            discard(both)
             return labels

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curalake.llm.common import LAST_ID, LOWER, PLAIN, bit_filter, components, filter_bit, give_back, id_key, saved, spare, text_bytes
+from curalake.llm.common import LAST_ID, LOWER, PLAIN, bit_filter, components, discard, filter_bit, give_back, id_key, saved, spare, text_bytes
 
 COORDINATES = 64
 MATCHES = 36
@@ -285,7 +285,7 @@ def near_duplicate_links(signed: DataFrame, keyed: DataFrame, k: int, percent: i
     labels = saved(classes.select(F.col("digest").alias("node"), F.col("digest").alias("label")), "labels", **PLAIN)
     done = None
     for turn in range(PIVOTS + 1):
-        marked = postings.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+        marked = postings.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
         if turn:
             live = marked.groupBy("pos", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("pos", "value")
             marked = marked.join(live, ["pos", "value"], "left_semi")
@@ -303,9 +303,11 @@ def near_duplicate_links(signed: DataFrame, keyed: DataFrame, k: int, percent: i
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         found = saved(_confirmed(pairs, sets, percent), "compared", **PLAIN)
         done = found if done is None else done.unionByName(found)
+        discard(marked)
         if not found.where("linked").isEmpty():
+            discard(labels)
             labels = components(done.where("linked"))
-    return labels
+    return labels.select("node", "label")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
