@@ -14,6 +14,7 @@ from curalake.llm.mixing import fair_counts
 from curalake.llm.near_dedup import near_duplicates
 from curalake.llm.quality import fit as fit_quality
 from curalake.llm.quality import score as score_quality
+from curalake.llm.sentence_pieces import round_trip_digests as piece_digests
 from curalake.llm.substring_dedup import remove_repeats
 from curalake.llm.token_files import token_files
 from curalake.llm.top_k import top_k
@@ -69,6 +70,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_token_files": op2_token_files,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_top_k": op9_top_k,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
