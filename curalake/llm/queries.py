@@ -20,6 +20,7 @@ from curalake.llm.token_files import token_files
 from curalake.llm.top_k import top_k
 from curalake.llm.toxicity import fit as fit_toxicity
 from curalake.llm.toxicity import score as score_toxicity
+from curalake.llm.turns import repair_damaged
 
 
 def tokenizer_file(name: str) -> str:
@@ -70,6 +71,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_top_k": op9_top_k,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_turn_repair": op11_turn_repair,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
