@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from contextlib import suppress
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,11 +36,31 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 PLAIN = {"compression": "uncompressed"}
 
 
-def saved(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and losing an executor loses nothing."""
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of Spark SQL for what is run inside, put back afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def co_partitioned(spark: SparkSession):
+    """What is run inside joins tables on several keys where they are, if both are dealt by some of these keys."""
+    return setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
+def saved(df: DataFrame, tag: str, lean: bool = False, **options: str) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends there, and losing an executor loses nothing. If lean, its shuffle files go when it is written."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.options(**options).parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true") if lean else nullcontext():
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out

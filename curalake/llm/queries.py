@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from curalake.llm.alignment import align
 from curalake.llm.bpe import round_trip_digests
 from curalake.llm.common import table
 from curalake.llm.exact_dedup import exact_duplicates
@@ -75,6 +76,10 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_top_k": op9_top_k,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_turn_repair": op11_turn_repair,
+    "op12_alignment": op12_alignment,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
