@@ -39,11 +39,15 @@ def brute(texts):
                 at += n
             ends.append(own)
         cuts = sorted({e for _, e in ends[0]} & {e for _, e in ends[1]})
-        groups, links, low = [], [], 0
-        for cut in cuts:
-            own = [[i for i, (s, e) in zip(ids, where) if low < e <= cut] for ids, where in zip((ids_a, ids_b), ends)]
-            groups.append("|".join(",".join(map(str, ids)) for ids in own))
-            low = cut
+        groups, links = [], []
+        last = {cut: k for k, cut in enumerate(cuts)}
+        own = [([], []) for _ in cuts]
+        for side, ids in enumerate((ids_a, ids_b)):
+            k = 0
+            for i, (_, e) in zip(ids, ends[side]):
+                own[k][side].append(i)
+                k = last.get(e, k - 1) + 1
+        groups = ["|".join(",".join(map(str, ids)) for ids in pair) for pair in own]
         j = 0
         for i, (s, e) in zip(ids_a, ends[0]):
             while ends[1][j][1] <= s:
