@@ -102,7 +102,7 @@ def _encoded(a_path: str, b_path: str, batches: Iterator[pa.RecordBatch]) -> Ite
 def encoded(counts: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """counts (word, n), each word once, as a table with a number w for each word and its ids: a, b with their sizes in bytes."""
     ids = counts.select("word", "n").mapInArrow(partial(_encoded, a_path, b_path), "word string, n long, a array<int>, a_size array<int>, b array<int>, b_size array<int>")
-    return saved(ids.withColumn("w", F.monotonically_increasing_id()), "encoded", lean=True)
+    return saved(ids.withColumn("w", F.monotonically_increasing_id()), "encoded")
 
 
 def ends(words: DataFrame, side: str) -> DataFrame:
@@ -139,7 +139,7 @@ def aligned(words: DataFrame) -> DataFrame:
 
 def pair_counts(words: DataFrame) -> DataFrame:
     """For each pair of ids that is linked: how many links hold it (count), and whether no other pair of its b has more (best)."""
-    pairs = saved(words.select("n", F.explode("links").alias("link")).groupBy("link.a_id", "link.b_id").agg(F.sum("n").alias("count")), "pairs", lean=True)
+    pairs = saved(words.select("n", F.explode("links").alias("link")).groupBy("link.a_id", "link.b_id").agg(F.sum("n").alias("count")), "pairs")
     most = pairs.groupBy("b_id").agg(F.max("count").alias("most"))  # a row for each id of B's vocabulary at most
     out = pairs.join(F.broadcast(most), "b_id").select("a_id", "b_id", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
     out.pairs = pairs
@@ -202,15 +202,15 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when((text != "") & ~text.contains(MARK), text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = rows.where("text is not null").withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(total // SLICE + 1)).cast("int"))
-    parts = saved(dealt.select("slice", F.explode(_words("text")).alias("word")).groupBy("slice", "word").agg(F.count("*").alias("n")), "words", lean=True)
+    parts = saved(dealt.select("slice", F.explode(_words("text")).alias("word")).groupBy("slice", "word").agg(F.count("*").alias("n")), "words")
     ids = encoded(parts.groupBy("word").agg(F.sum("n").alias("n")), a_path, b_path)
     with co_partitioned(docs.sparkSession):
-        words = saved(aligned(ids), "aligned", lean=True)
+        words = saved(aligned(ids), "aligned")
     discard(ids)
     pairs = pair_counts(words)
     scored = words.select("w", F.explode("links").alias("link")).select("w", "link.*").join(pairs, ["a_id", "b_id"])
     scored = scored.groupBy("w").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    results = saved(words.select("w", "word", "groups", *_SUMS[:4]).join(scored, "w").drop("w"), "results", lean=True)
+    results = saved(words.select("w", "word", "groups", *_SUMS[:4]).join(scored, "w").drop("w"), "results")
     discard(words, pairs.pairs)
     known = parts.select("slice", "word").join(results, "word")
     head = known.select("slice", F.lit(0).alias("kind"), "word", "groups", *_SUMS, F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))

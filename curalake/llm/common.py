@@ -55,7 +55,7 @@ def co_partitioned(spark: SparkSession):
     return setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
 
 
-def saved(df: DataFrame, tag: str, lean: bool = False, **options: str) -> DataFrame:
+def saved(df: DataFrame, tag: str, lean: bool = True, **options: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, and losing an executor loses nothing. If lean, its shuffle files go when it is written."""
     spark = df.sparkSession
     path = shared_path(spark, tag)

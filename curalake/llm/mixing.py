@@ -2,10 +2,13 @@
 
 Each source is a queue of its documents in shuffled order, followed by as many repeats of the queue as the
 cap allows. A copy starts at the words queued before it, divided by the target of its source, and finishes
-at that plus its own size divided by the target: its virtual finish time. Copies are taken in the order of
-their virtual finish times over all sources (a global range sort). As the targets add up to the budget,
-the budget is spent when the virtual clock stands at 1: later copies are cut off, and the copy that a source
-is serving at that moment is cut at the word.
+at that plus its own size divided by the target: its virtual finish time. Copies are served in the order of
+their virtual finish times over all sources (a global range sort) until the budget is spent; the copy that is
+served then is cut at the word, and later ones get nothing.
+
+When the virtual clock stands at 1, every source has been served its target but for the copy that it is at. So a source
+is served its target to within one document, more or less: its copies that finish by 1 are at most one document short, and
+what the sources lack there goes to the copies that finish next, of any source.
 
 Running sums of a source are taken in two steps, inside range partitions and over the totals of partitions,
 so that a source with most of the documents is spread over many tasks.
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curalake.llm.common import give_back, id_key, saved, spare, text_bytes
+from curalake.llm.common import discard, give_back, id_key, saved, spare, text_bytes
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -93,65 +96,65 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def queued(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """rows (id, source, h, shuffle, size) with place, source_size, target and before: the words of its source ahead of it."""
+    """rows (id, source, h, shuffle, size), a saved table that this deletes, with place, source_size, target and before: the words of its source ahead of it."""
     goals = saved(targets(rows, weights, share, cap), "targets")
     same = rows["source"].eqNullSafe(goals["source"])
     placed = rows.join(goals, same).drop(goals["source"])
     placed = placed.repartitionByRange("place", "shuffle", "id", "h").sortWithinPartitions("place", "shuffle", "id", "h")
     schema = placed.schema.simpleString()[len("struct<") : -1].replace(":", " ")
     local = saved(placed.mapInArrow(_running, schema + ", part int, before long"), "queues")
+    discard(rows, goals)
     totals = local.groupBy("place", "part").agg(F.sum("size").alias("words"))
     ahead = F.coalesce(F.sum("words").over(Window.partitionBy("place").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return local.join(totals.select("place", "part", ahead.alias("ahead")), ["place", "part"]).withColumn("before", F.col("before") + F.col("ahead")).drop("ahead", "part")
-
-
-def copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """The copies that the mix takes: rows of `queued` with copy, finish (virtual finish time) and taken (words)."""
-    return _copies(queued(rows, weights, share, cap), cap)
+    out = saved(local.join(totals.select("place", "part", ahead.alias("ahead")), ["place", "part"]).withColumn("before", F.col("before") + F.col("ahead")).drop("ahead", "part"), "queued")
+    discard(local)
+    return out
 
 
-def _copies(queue: DataFrame, cap: int = CAP) -> DataFrame:
-    out = queue.withColumn("copy", F.explode(F.array(*map(F.lit, range(cap)))))
+def copies(queue: DataFrame, cap: int = CAP) -> DataFrame:
+    """Every copy of a document with words: rows of `queued` with copy and finish, its virtual finish time."""
+    out = queue.where("size > 0").withColumn("copy", F.explode(F.array(*map(F.lit, range(cap)))))
     start = F.col("before") + F.col("copy") * F.col("source_size")
-    taken = F.least(F.col("size"), F.floor("target") - start)
-    return out.withColumns({"finish": (start + F.col("size")) / F.col("target"), "taken": taken}).where("taken > 0")
-
-
-def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken; by arithmetic on each queue alone, as a check of `fair_counts`."""
-    rows = queued(_sized(docs, id_col, text_col, source_col))
-    taken = sum(F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - F.col("before") - k * F.col("source_size"))) for k in range(CAP))
-    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.withColumn("finish", (start + F.col("size")) / F.col("target"))
 
 
-def _served(taken: DataFrame) -> DataFrame:
-    """Rows of `copies` in the order of virtual finish time with served: the words taken ahead of each, over all sources."""
+def _served(all_copies: DataFrame) -> DataFrame:
+    """Rows of `copies` in the order of virtual finish time with served: the words of the copies ahead of each, over all sources."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, carry = TaskContext.get().partitionId(), 0
         for batch in batches:
-            words = batch.column("taken").to_numpy()
+            words = batch.column("size").to_numpy()
             served = carry + np.cumsum(words) - words
             carry += int(words.sum())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(words), part, np.int32)), pa.array(served, pa.int64())], [*batch.schema.names, "part", "served"])
 
     order = ("finish", "place", "copy", "before")
-    sorted_copies = taken.select("place", "before", "copy", "finish", F.col("taken").cast("long").alias("taken")).repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_copies = all_copies.select("place", "before", "copy", "finish", "size").repartitionByRange(*order).sortWithinPartitions(*order)
     schema = sorted_copies.schema.simpleString()[len("struct<") : -1].replace(":", " ")
     local = saved(sorted_copies.mapInArrow(run, schema + ", part int, served long"), "served")
-    totals = local.groupBy("part").agg(F.sum("taken").alias("words"))  # a row for each partition
+    totals = local.groupBy("part").agg(F.sum("size").alias("words"))  # a row for each partition
     ahead = F.coalesce(F.sum("words").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return local.join(F.broadcast(totals.select("part", ahead.alias("ahead"))), "part").withColumn("served", F.col("served") + F.col("ahead")).drop("ahead", "part")
+    out = local.join(F.broadcast(totals.select("part", ahead.alias("ahead"))), "part").withColumn("served", F.col("served") + F.col("ahead")).drop("ahead", "part")
+    out.local = local
+    return out
+
+
+def takes(queue: DataFrame, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """The copies that the mix takes, by place and before in the queue: copy, finish, and taken (words), cut off at the budget."""
+    goals = queue.groupBy("place").agg(F.first("source_size").alias("source_size"))  # a row for each source
+    served = _served(copies(queue, cap))
+    budget = goals.agg(F.floor(F.sum("source_size") * F.lit(float(min(share, cap)))).alias("budget"))
+    out = served.crossJoin(F.broadcast(budget)).withColumn("taken", F.least("size", F.col("budget") - F.col("served"))).where("taken > 0").drop("budget", "served", "size")
+    out.local = served.local
+    return out
 
 
 def fair_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of `mix_counts`, with taken from the queue: copies in the order of virtual finish time over all sources, cut off at the budget."""
-    rows = saved(queued(_sized(docs, id_col, text_col, source_col)), "queued")
-    goals = rows.select("place", "target").distinct()  # a row for each source
-    served = _served(_copies(rows)).crossJoin(F.broadcast(goals.agg(F.floor(F.sum("target")).alias("budget"))))
-    words = F.greatest(F.lit(0), F.least("taken", F.col("budget") - F.col("served")))
+    """One row per document: doc_id, size, source_size, target, taken (words that the mix takes, repeats counted)."""
+    rows = queued(_sized(docs, id_col, text_col, source_col))
     # A source serves one document with words at a time, so its place in the queue tells it.
-    taken = served.groupBy("place", "before").agg(F.sum(words).alias("taken")).select("place", "before", F.lit(True).alias("sized"), "taken")
+    taken = takes(rows).groupBy("place", "before").agg(F.sum("taken").alias("taken")).select("place", "before", F.lit(True).alias("sized"), "taken")
     out = rows.withColumn("sized", F.col("size") > 0).join(taken, ["place", "before", "sized"], "left")
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"))
 
@@ -167,9 +170,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Rows that share id, text and source share their takes: the first of them, by a hash of all columns, gets the first take.
     """
     own, h, key, turn, take = (spare(docs, c) for c in ("own_id", "own_h", "own_source", "own_turn", "own_take"))
-    takes = copies(_sized(docs, id_col, text_col, source_col)).withColumn("key", _source_key("source"))
-    takes = takes.groupBy("id", "h", "key").agg(F.sort_array(F.collect_list(F.struct("finish", "copy", "size", "taken"))).alias("takes"))
-    taken = takes.select(id_key("id").alias(own), F.col("h").alias(h), F.col("key").alias(key), "takes")
+    rows = queued(_sized(docs, id_col, text_col, source_col))
+    served = takes(rows).join(rows.where("size > 0"), ["place", "before"]).withColumn("key", _source_key("source"))
+    served = saved(served.groupBy("id", "h", "key").agg(F.sort_array(F.collect_list(F.struct("finish", "place", "copy", "before", "size", "taken"))).alias("takes")), "takes")
+    discard(rows)
+    taken = served.select(id_key("id").alias(own), F.col("h").alias(h), F.col("key").alias(key), "takes")
     same = [own, h, key]
     keyed = docs.withColumns({own: id_key(id_col), h: F.xxhash64(text_bytes(text_col)), key: _source_key(source_col)})
     again = keyed.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1")
@@ -181,5 +186,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         single = single.unionByName(several.drop("takes", "n", "at", turn))
     parts = F.split(F.trim(F.regexp_replace(text_col, r"[\x20\x09-\x0D]+", " ")), " ")
     cut = F.when(F.col(f"{take}.taken") < F.col(f"{take}.size"), F.array_join(F.slice(parts, 1, F.col(f"{take}.taken").cast("int")), " ")).otherwise(F.col(text_col))
-    ordered = single.withColumn(text_col, cut).repartitionByRange(F.col(f"{take}.finish"), own, key).sortWithinPartitions(F.col(f"{take}.finish"), own, key)
-    return ordered.select(*docs.columns)
+    order = [F.col(f"{take}.{c}") for c in ("finish", "place", "copy", "before")]
+    return single.withColumn(text_col, cut).repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)

@@ -125,15 +125,20 @@ ORACLE_SQL: dict[str, str] = {
         ), o AS (
             SELECT min(turn) AS first_open, arg_min(level, turn) AS open_level FROM f WHERE level * weight <= cap
         ), g AS (
-            SELECT source, source_size, CASE WHEN turn >= first_open THEN open_level * weight ELSE cap::DOUBLE END AS target FROM f, o
+            SELECT source, place, source_size, CASE WHEN turn >= first_open THEN open_level * weight ELSE cap::DOUBLE END AS target FROM f, o
         ), q AS (
-            SELECT d.doc_id, d.size, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS whole,
+            SELECT d.doc_id, d.source, d.size, g.place, g.source_size, g.target,
                 CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.shuffle, d.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS before
             FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+        ), c AS (
+            SELECT place, before, size, CAST(sum(size) OVER (ORDER BY (before + k * source_size + size)::DOUBLE / target, place, k, before ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS served
+            FROM q, (VALUES (0), (1)) copies(k) WHERE size > 0
+        ), t AS (
+            SELECT place, before, CAST(sum(least(size, budget - served)) AS BIGINT) AS taken
+            FROM c, (SELECT CAST(floor(sum(source_size)::DOUBLE * 1.5::DOUBLE) AS BIGINT) AS budget FROM s) WHERE served < budget GROUP BY place, before
         )
-        SELECT doc_id, size, source_size, target,
-            greatest(0, least(size, whole - before)) + greatest(0, least(size, whole - before - source_size)) AS taken
-        FROM q
+        SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(t.taken, 0) AS taken
+        FROM q LEFT JOIN t ON q.place = t.place AND q.before = t.before AND q.size > 0
     """,
     "op9_top_k": """
         WITH v AS (

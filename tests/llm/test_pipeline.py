@@ -45,16 +45,21 @@ def brute_mix(rows):
             break
         budget -= sum(target[s] for s in full)
         free = free - full
-    out = []
-    for s in order:
+    served = []
+    for place, s in enumerate(order):
         queue = sorted((r for r in rows if r[2] == s), key=lambda r: (hashlib.md5(str("" if r[0] is None else r[0]).encode()).hexdigest(), r[0] is not None, r[0] or 0, int.from_bytes(xxhash.xxh64((r[1] or "").encode(), seed=42).digest(), "big", signed=True)))
         clock = 0
-        for i, t, _ in queue * 2:
+        for k, (i, t, _) in enumerate(queue * 2):
             words = (t or "").encode().split()
-            kept = words[: max(0, int(target[s]) - clock)]
             clock += len(words)
-            if kept:
-                out.append((i, t if len(kept) == len(words) else b" ".join(kept).decode()))
+            if words:
+                served.append((clock / target[s], place, k // len(queue), clock, i, t, s, words))
+    left, out = int(1.5 * sum(sizes.values())), []
+    for *_, i, t, s, words in sorted(served, key=lambda c: c[:4]):
+        kept = words[:left]
+        left -= len(kept)
+        if kept:
+            out.append((i, t if len(kept) == len(words) else b" ".join(kept).decode(), s))
     return out
 
 
@@ -71,7 +76,7 @@ def test_stages(spark, docs, rows, tmp_path):
     library.no_padding()
     library.no_truncation()
     want = []
-    for i, t in brute_mix(kept):
+    for i, t, _ in brute_mix(kept):
         ids = library.encode(t, add_special_tokens=False).ids
         want.append((i, len(ids), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     got = [(r.doc_id, r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]

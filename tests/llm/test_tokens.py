@@ -14,8 +14,9 @@ from tokenizers import Tokenizer
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from curalake.llm import bpe, token_files  # noqa: E402
-from curalake.llm.mixing import _sized, copies, mix, mix_counts  # noqa: E402
+from curalake.llm import bpe, mixing, queries, token_files  # noqa: E402
+from curalake.llm.mixing import fair_counts, mix  # noqa: E402
+from tests.llm.test_pipeline import brute_mix  # noqa: E402
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ANY = st.one_of(st.text(max_size=40), st.text(alphabet="aab tThe'sdll.,!? \n\t\x1cÅΣé½1 ", max_size=40))
@@ -125,8 +126,16 @@ def test_token_files(spark, docs, rows, none, tmp_path):
     assert token_files.token_files(none, BYTES).count() == 0
 
 
+def brute_counts(rows):
+    """Words that the mix takes of each id, source and size."""
+    taken = Counter()
+    for i, t, s in brute_mix(rows):
+        taken[i, s] += len(t.encode().split())
+    return taken
+
+
 def test_mix(docs, rows, none):
-    got = mix_counts(docs).collect()
+    got = fair_counts(docs).collect()
     sizes, by_source = Counter(), defaultdict(int)
     for i, t, s in rows:
         by_source[s] += len((t or "").encode().split())
@@ -147,71 +156,61 @@ def test_mix(docs, rows, none):
             target[s] = 2.0 * by_source[s]
             budget -= target[s]
         free -= full
-    source = {i: s for i, _, s in rows}
-    taken = defaultdict(int)
+    source = {(i, len((t or "").encode().split())): s for i, t, s in rows}
+    taken, longest = Counter(), Counter()
     for r in got:
-        assert r.target == pytest.approx(target[source[r.doc_id]]) and 0 <= r.taken <= 2 * r.size
-        taken[source[r.doc_id]] += r.taken
-    assert all(abs(taken[s] - target[s]) <= 1 for s in order)
-    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mix_counts(docs).collect()), key=str)
+        s = source[r.doc_id, r.size]
+        assert r.target == pytest.approx(target[s]) and r.source_size == by_source[s] and 0 <= r.taken <= 2 * r.size
+        taken[s] += r.taken
+        longest[s] = max(longest[s], r.size)
+    assert sum(taken.values()) == int(1.5 * total)
+    assert all(target[s] - taken[s] <= longest[s] for s in order)
+    want = Counter()
+    for (_, s), n in brute_counts(rows).items():
+        want[s] += n
+    assert +want == +taken
     out = mix(docs)
     assert out.columns == docs.columns
-    words = defaultdict(int)
-    for r in out.collect():
-        words[r.source] += len((r.text or "").encode().split())
-    assert dict(words) == {s: n for s, n in taken.items() if n}
-    assert mix_counts(none).count() == 0 and mix(none).count() == 0
+    assert Counter((r.doc_id, r.text, r.source) for r in out.collect()) == Counter(brute_mix(rows))
+    assert fair_counts(none).count() == 0 and mix(none).count() == 0
 
 
 def test_mix_of_one_row_in_two_sources(spark):
     """An id and text that two sources share are served for each of them."""
     rows = [(1, "a b c d", "s1"), (1, "a b c d", "s2"), (2, "e f", "s1"), (2, "e f", "s1"), (3, "g h i j k", "s2")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    taken = Counter()
-    for r in copies(_sized(df, "doc_id", "text", "source")).collect():
-        taken[r.source] += r.taken
-    words = Counter()
-    for r in mix(df).collect():
-        words[r.source] += len(r.text.split())
-    assert words == taken
+    assert sum(r.taken for r in fair_counts(df).collect()) == int(1.5 * sum(len(t.split()) for _, t, _ in rows))
+    assert Counter((r.doc_id, r.text, r.source) for r in mix(df).collect()) == Counter(brute_mix(rows))
 
 
 def test_mix_order(spark):
-    """Brute force: copies in the order of finish time, each cut where its source reaches its target."""
+    """Brute force: copies in the order of finish time, until the budget is spent."""
     rows = [(n, " ".join(f"t{n}_{k}" for k in range(n % 7)), f"s{n % 3}") for n in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    target = {r.doc_id: r.target for r in mix_counts(df).collect()}
-    queues = defaultdict(list)
-    for i, t, s in sorted(rows, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
-        queues[s].append((i, t.split()))
-    want = []
-    for s, queue in queues.items():
-        clock = 0
-        for i, w in queue * 2:
-            goal = target[i]
-            kept = w[: max(0, int(goal) - clock)]
-            clock += len(w)
-            if kept:
-                want.append((clock / goal, i, " ".join(kept)))
-    got = [(r.doc_id, r.text) for r in mix(df).collect()]
-    assert got == [(i, t) for _, i, t in sorted(want)]
+    assert [(r.doc_id, r.text, r.source) for r in mix(df).collect()] == brute_mix(rows)
 
 
 def test_fair_queue(spark, docs, none, monkeypatch):
-    """op7 takes what the queue over all sources serves: copies sorted by finish, a running total, the cut at the budget."""
-    from curalake.llm import mixing, queries
-
-    hot = [(n % 5000, " ".join(["w"] * (9000 if n == 77 else n % 13)), "hot" if n % 10 else f"s{n % 7}") for n in range(6000)]
+    """op7 takes what the queue over all sources serves, and the cut at the budget removes words of the copies behind it."""
+    hot = [(n, " ".join(["w"] * (9000 if n == 177 else n % 13)), "hot" if n % 10 else f"s{n % 7}") for n in range(100, 6000)]
     df = docs.select("doc_id", "text", "source").unionByName(spark.createDataFrame(hot, "doc_id long, text string, source string"))
     seen, served = [], mixing._served
     monkeypatch.setattr(mixing, "_served", lambda taken: seen.append(served(taken)) or seen[-1])
     monkeypatch.setattr(queries, "table", lambda *_: df)
     got = queries.op7_mixing(spark, "").collect()
-    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mix_counts(df).collect()), key=str)
-    queue = sorted((r.finish, r.place, r.copy, r.before, r.served, r.taken) for r in seen[0].collect())
-    total = 0
-    for *_, ahead, taken in queue:
+    taken = Counter()
+    every = [tuple(r) for r in df.collect()]
+    for r in got:
+        taken[r.doc_id] += r.taken
+    want = Counter()
+    for (i, _), n in brute_counts(every).items():
+        want[i] += n
+    assert +taken == +want
+    queue = sorted((r.finish, r.place, r.copy, r.before, r.served, r.size) for r in seen[0].collect())
+    total, budget = 0, sum(taken.values())
+    for *_, ahead, size in queue:
         assert ahead == total
-        total += taken
-    assert total == sum(r.taken for r in got)
-    assert mixing.fair_counts(none).count() == 0
+        total += size
+    assert total == 2 * sum(len((t or "").encode().split()) for _, t, _ in every) > budget
+    assert any(ahead < budget < ahead + size for *_, ahead, size in queue)  # a copy is cut at the word
+    assert fair_counts(none).count() == 0
