@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from curalake.llm.bpe import round_trip_digests
-from curalake.llm.common import saved, table
+from curalake.llm.common import discard, saved, table
 from curalake.llm.exact_dedup import drop_exact_duplicates
 from curalake.llm.mixing import mix
 from curalake.llm.near_dedup import drop_near_duplicates
@@ -54,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = None
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept = saved(stage(spark, table(spark, sf_dir, "documents") if docs is None else docs, sf_dir), f"stage-{name}")
+        if docs is not None:
+            discard(docs)
+        docs = kept
     return docs
