@@ -39,15 +39,17 @@ from curalake.llm.sentence_pieces import MARK
 
 #: White space of any version of Unicode, controls and format characters: no cut is made next to them, though some would be safe.
 _WHITE = r"\x00-\x20\x7f-\xa0\xad ᠎ -‏ -  -⁯　﻿" + MARK
-_CUT = f"(?<=[^{_WHITE}]) (?=[^{_WHITE}])"
+_CUT = f" (?<=[^{_WHITE}] )(?=[^{_WHITE}])"
+#: A space that is no cut. A text without one, which is the usual text, is split at every space.
+_NO_CUT = f" (?:(?<=(?:^|[{_WHITE}]) )|(?=$|[{_WHITE}]))"
 #: Bytes of text of a slice, and words that are joined at a time.
-SLICE, WORDS = 1 << 25, 1 << 20
+SLICE, WORDS = 1 << 27, 1 << 19
 
 _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def _words(text: str | Column) -> Column:
-    return F.split(text, _CUT, -1)
+def _words(text: str) -> Column:
+    return F.when(F.col(text).rlike(_NO_CUT), F.split(text, _CUT, -1)).otherwise(F.split(text, " ", -1))
 
 
 #: A task has one core.

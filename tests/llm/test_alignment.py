@@ -77,10 +77,10 @@ ODD = [
 ]
 
 
-@pytest.mark.parametrize("size", [(1 << 25, 1 << 20), (300, 7)])
+@pytest.mark.parametrize("size", [1 << 27, 300])
 def test_query(spark, docs, none, rows, monkeypatch, size):
     """Nulls, odd white space, marks, long words, repeated rows, clashing columns; slices of a few texts."""
-    monkeypatch.setattr(alignment, "SLICE", size[0])
+    monkeypatch.setattr(alignment, "SLICE", size)
     odd = [(100 + k, t) for k, t in enumerate(ODD)]
     extra = spark.createDataFrame(odd, "doc_id long, text string").withColumns({c: F.lit(None).cast(docs.schema[c].dataType) for c in docs.columns if c not in ("doc_id", "text")})
     df = docs.unionByName(extra).withColumns({"word": F.lit(3), "slice": F.lit("x"), "a": F.lit(1.5)})
