@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curalake.plans import parsing, records, relations, reports, rollups, screens, selection, streams, updates, wording  # noqa: F401  (they register their queries)
+from curalake.plans import parsing, records, relations, reports, rollups, screens, selection, sessions, streams, updates, wording  # noqa: F401  (they register their queries)
 from curalake.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = selection.table_page

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from curalake.functions.sentinel import strip
 
@@ -106,23 +109,23 @@ def is_series(c: Column) -> Column:
 def targets(c: Column) -> Column:
     """X11: the symbols of a target cell, pair shorthand spelled out, leading labels dropped.
 
-    The cell is cut at commas, semicolons and slashes; a part that is only digits takes the stem of the symbol before it.
+    The word N/A goes before anything is cut, as it has a slash itself. The cell is cut at commas and semicolons, and each
+    part at slashes; behind a slash, digits alone take the stem of the symbol before it, which is two letters or digits at least.
     """
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), "[,;/]"), lambda x: strip(F.substring_index(x, ": ", -1)))
-    start = F.struct(F.lit("").alias("stem"), F.array().cast("array<string>").alias("out"))
+    cell = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)\bN/A\b", "")
 
-    def step(state: Column, x: Column) -> Column:
-        pair = x.rlike(r"^\d+$") & (state["stem"] != "")
-        stem = F.when(pair, state["stem"]).when(x.rlike(r"^[A-Z0-9]*[A-Z]\d+$"), F.regexp_replace(x, r"\d+$", "")).otherwise("")
-        return F.struct(stem.alias("stem"), F.concat(state["out"], F.array(F.when(pair, F.concat(state["stem"], x)).otherwise(x))).alias("out"))
+    def spelled(part: Column) -> Column:
+        start = F.struct(F.lit("").alias("stem"), F.array().cast("array<string>").alias("out"))
 
-    named = F.aggregate(parts, start, step, lambda s: s["out"])
-    return F.array_distinct(F.filter(named, lambda x: ~F.upper(x).isin(*NO_TARGET, "N", "A")))
+        def step(state: Column, x: Column) -> Column:
+            pair = x.rlike(r"^\d+$") & (state["stem"] != "")
+            stem = F.when(pair, state["stem"]).otherwise(F.regexp_extract(x, r"([A-Z][A-Z0-9]*[A-Z0-9])\d$", 1))
+            return F.struct(stem.alias("stem"), F.concat(state["out"], F.array(F.when(pair, F.concat(state["stem"], x)).otherwise(x))).alias("out"))
 
+        return F.aggregate(F.transform(F.split(part, "/"), strip), start, step, lambda s: s["out"])
 
-def split_outside_parentheses(c: Column) -> Column:
-    """At commas that no closing parenthesis follows before an opening one."""
-    return F.split(c, r"\s*,\s*(?![^(]*\))")
+    named = F.transform(F.flatten(F.transform(F.split(cell, "[,;]"), spelled)), lambda x: strip(F.substring_index(x, ": ", -1)))
+    return F.array_distinct(F.filter(named, lambda x: ~F.upper(x).isin(*NO_TARGET)))
 
 
 def split_top_level(c: Column, separator: str = ",") -> Column:
@@ -141,12 +144,6 @@ def split_top_level(c: Column, separator: str = ",") -> Column:
     return F.transform(parts, strip)
 
 
-def type_and_detail(c: Column) -> Column:
-    """`type; detail` as a struct."""
-    parts = F.split(c, ";", 2)
-    return F.struct(strip(parts[0]).alias("type"), F.nullif(strip(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))), F.lit("")).alias("detail"))
-
-
 def canonical_xref(source: Column, reference: Column) -> Column:
     """PREFIX:LOCAL, or null for an authority or a shape that isn't known.
 
@@ -250,15 +247,28 @@ def sentence_like(c: Column) -> Column:
     return F.size(F.filter(F.split(strip(c), r"\s+"), lambda x: x != "")) >= 4
 
 
+@F.pandas_udf(StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    def fold(text: str | None) -> str | None:
+        if text is None or text.isascii():
+            return text
+        return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+    return texts.map(fold)
+
+
 def fold_accents(c: Column) -> Column:
-    """Lower case, letters without their marks, everything else as single spaces."""
-    marks = "áàâäãåéèêëíìîïóòôöõúùûüýÿñç", "aaaaaaeeeeiiiiooooouuuuyync"
-    return F.trim(F.regexp_replace(F.translate(F.lower(c), *marks), r"[^a-z0-9]+", " "))
+    """Letters decomposed and without their marks, in lower case, everything else as single spaces; null stays null.
+
+    Decomposition is a batch function, as Spark has none; texts of ASCII alone pass it as they are.
+    """
+    return F.regexp_replace(F.lower(_folded(c)), r"[^a-z0-9]+", " ")
 
 
 def fingerprint(*columns: Column) -> Column:
-    """Eight hexadecimal digits of a row's text."""
-    return F.substring(F.md5(F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)).cast("binary")), 1, 8)
+    """Eight hexadecimal digits of a row's text; each cell has its length before it, so no two rows have one text."""
+    cells = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
+    return F.substring(F.md5(F.concat(*(x for c in cells for x in (F.length(c).cast("string"), F.lit(":"), c))).cast("binary")), 1, 8)
 
 
 def place(*parts: Column) -> Column:

@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 
 
 def digest(*columns: Column, length: int = 16) -> Column:
-    """The first digits of the SHA-256 of the values."""
-    text = F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("~")) for c in columns))
-    return F.substring(F.sha2(text, 256), 1, length)
+    """The first digits of the SHA-256 of the values, each behind its length, a null as a hyphen: different rows have different texts."""
+    cells = [F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in columns]
+    return F.substring(F.sha2(F.concat(*cells), 256), 1, length)
 
 
 def diff(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """One row for each key that was added, removed or changed, with the names of the fields that differ."""
-    o, n = old.alias("o"), new.alias("n")
-    both = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
-    in_o, in_n = F.col(f"o.{key}").isNotNull(), F.col(f"n.{key}").isNotNull()
+    """One row for each key that was added, removed or changed, with the names of the fields that differ; a null key is a key."""
+    o, n = old.withColumn("_in_o", F.lit(True)).alias("o"), new.withColumn("_in_n", F.lit(True)).alias("n")
+    both = o.join(n, F.col(f"o.{key}").eqNullSafe(F.col(f"n.{key}")), "full_outer")
+    in_o, in_n = F.col("_in_o").isNotNull(), F.col("_in_n").isNotNull()
     changed = F.concat_ws(",", *(F.when(~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")), F.lit(c)) for c in columns))
     kind = F.when(~in_o, "added").when(~in_n, "removed").otherwise("changed")
     fields = F.when(in_o & in_n, changed).otherwise("")

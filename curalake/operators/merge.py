@@ -25,11 +25,6 @@ def coalesce_new(old: Column, new: Column) -> Column:
     return F.coalesce(new, old)
 
 
-def keep_old(old: Column, new: Column) -> Column:
-    """M5: the old value unless it is null."""
-    return F.coalesce(old, new)
-
-
 def fill_blank(old: Column, new: Column) -> Column:
     """M1, M9: the new value only where the old one is null or blank."""
     return F.coalesce(F.nullif(F.trim(old), F.lit("")), new)
@@ -53,11 +48,11 @@ def union_in_order(separator: str = ";") -> Rule:
 def upsert(target: DataFrame, source: DataFrame, key: str, rules: dict[str, Rule], frozen: Column | None = None, frozen_columns: tuple[str, ...] = ()) -> DataFrame:
     """M1-M6: target with source merged in; `change` says insert, update or keep.
 
-    frozen is a condition on the target (as `t`); where it holds, frozen_columns keep their values.
+    frozen is a condition on the target (as `t`); where it holds, frozen_columns keep their values. A null key is a key like any other.
     """
-    t, s = target.alias("t"), source.alias("s")
+    t, s = target.withColumn("_in_t", F.lit(True)).alias("t"), source.withColumn("_in_s", F.lit(True)).alias("s")
     both = t.join(s, F.col(f"t.{key}").eqNullSafe(F.col(f"s.{key}")), "full_outer")
-    in_t, in_s = F.col(f"t.{key}").isNotNull(), F.col(f"s.{key}").isNotNull()
+    in_t, in_s = F.col("_in_t").isNotNull(), F.col("_in_s").isNotNull()
     out = [F.coalesce(F.col(f"t.{key}"), F.col(f"s.{key}")).alias(key)]
     for c, rule in rules.items():
         old, new = F.col(f"t.{c}"), F.col(f"s.{c}")

@@ -73,9 +73,10 @@ def search(df: DataFrame, text: str, columns: Sequence[str] | None = None) -> Da
 
 
 def gates(df: DataFrame, conditions: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """F16: rows that pass all gates, and how many each gate in turn rejects, in one pass over df."""
+    """F16: rows that pass all gates, and how many each gate in turn rejects, in one pass over df; a gate that is null rejects."""
     reason, open_ = F.lit(None).cast("string"), F.lit(True)
-    for name, condition in conditions.items():
+    for name, gate in conditions.items():
+        condition = F.coalesce(gate, F.lit(False))
         reason = F.coalesce(reason, F.when(~condition, F.lit(name)))
         open_ = open_ & condition
     rejected = df.select(reason.alias("gate")).where("gate is not null").groupBy("gate").agg(F.count("*").alias("rejected"))

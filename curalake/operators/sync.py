@@ -72,11 +72,20 @@ def offset_union(old: Column, new: Column, separator: str) -> Column:
 
 
 def patched(cells: DataFrame, corrections: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cells (keys, value) with the corrections (keys, old, new) that name them and their value; corrections that disagree fail."""
-    plan = corrections.groupBy(*keys, "old").agg(F.min("new").alias("new"), F.count_distinct("new").alias("_n"))
-    new = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("corrections disagree: "), F.concat_ws(" ", *(F.col(k).cast("string") for k in keys))))).otherwise(F.col("new"))
-    plan = plan.withColumn("new", new).drop("_n").withColumnRenamed("old", "value")
-    return cells.join(plan, [*keys, "value"], "left").select(*keys, F.coalesce("new", "value").alias("value"), F.col("new").isNotNull().alias("corrected"))
+    """Cells (keys, value) with the corrections (keys, old, new) that name them and their value; corrections that disagree fail.
+
+    An empty cell is null: a correction may name one as its old value, or set a cell to it.
+    """
+    # Nulls are counted as a value of their own: corrections to x and to empty disagree.
+    answers = F.count_distinct(F.struct("new"))
+    plan = corrections.groupBy(*(F.col(k).alias(f"_{k}") for k in keys), F.col("old").alias("_old")).agg(F.min("new").alias("_new"), answers.alias("_n"))
+    disagree = F.raise_error(F.concat(F.lit("corrections disagree: "), F.concat_ws(" ", *(F.col(f"_{k}").cast("string") for k in keys))))
+    plan = plan.withColumn("_hit", F.when(F.col("_n") > 1, disagree.cast("boolean")).otherwise(F.lit(True)))
+    same = F.col("value").eqNullSafe(F.col("_old"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    hit = F.coalesce("_hit", F.lit(False))
+    return cells.join(plan, same, "left").select(*keys, F.when(hit, F.col("_new")).otherwise(F.col("value")).alias("value"), hit.alias("corrected"))
 
 
 def rectangle(df: DataFrame, top: str, bottom: str, left: str, right: str) -> DataFrame:

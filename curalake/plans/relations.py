@@ -131,7 +131,7 @@ _NEW = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'Z' ELSE o_orderst
 
 @query(f"""SELECT * FROM (SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'added' WHEN n.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS kind,
     CASE WHEN o.o_orderkey IS NULL OR n.o_orderkey IS NULL THEN '' ELSE concat_ws(',', CASE WHEN o.o_orderstatus IS DISTINCT FROM n.o_orderstatus THEN 'o_orderstatus' END, CASE WHEN o.o_orderpriority IS DISTINCT FROM n.o_orderpriority THEN 'o_orderpriority' END) END AS fields,
-    CASE WHEN n.o_orderkey IS NOT NULL THEN left(sha256(coalesce(n.o_orderstatus, '~') || '|' || coalesce(n.o_orderpriority, '~')), 16) END AS version
+    CASE WHEN n.o_orderkey IS NOT NULL THEN left(sha256(coalesce(length(n.o_orderstatus) || ':' || n.o_orderstatus, '-') || coalesce(length(n.o_orderpriority) || ':' || n.o_orderpriority, '-')), 16) END AS version
     FROM {_OLD} o FULL JOIN {_NEW} n ON o.o_orderkey = n.o_orderkey) WHERE kind <> 'changed' OR fields <> ''""")
 def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Added, removed and changed keys, the fields that differ, and a digest."""

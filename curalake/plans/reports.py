@@ -185,7 +185,7 @@ def trait_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").join(F.broadcast(n), F.col("p_size") == F.col("n_nationkey"), "left").join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("p_partkey", "r_name", "n_name")
 
 
-@query("""WITH s AS (SELECT s_suppkey, substr(md5(s_name || '|' || s_nationkey), 1, 8) AS print FROM supplier) SELECT l_orderkey, l_linenumber, print FROM lineitem LEFT JOIN s ON s_suppkey = l_suppkey AND l_linenumber % 2 = 0""")
+@query("""WITH s AS (SELECT s_suppkey, substr(md5(length(s_name) || ':' || s_name || length(CAST(s_nationkey AS VARCHAR)) || ':' || s_nationkey), 1, 8) AS print FROM supplier) SELECT l_orderkey, l_linenumber, print FROM lineitem LEFT JOIN s ON s_suppkey = l_suppkey AND l_linenumber % 2 = 0""")
 def fingerprinted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with the fingerprint of where they come from."""
     from curalake.functions.text import fingerprint

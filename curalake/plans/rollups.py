@@ -190,7 +190,7 @@ def corrected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_corrections(df, "s_suppkey", ["s_name", "s_nationkey"], good.unionByName(bad))
 
 
-@query("SELECT s_suppkey, left(md5(s_suppkey || '|' || s_name || '|' || s_nationkey), 8) AS fingerprint FROM supplier")
+@query("SELECT s_suppkey, left(md5(length(CAST(s_suppkey AS VARCHAR)) || ':' || s_suppkey || length(s_name) || ':' || s_name || length(CAST(s_nationkey AS VARCHAR)) || ':' || s_nationkey), 8) AS fingerprint FROM supplier")
 def row_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X42."""
     from curalake.functions.text import fingerprint

@@ -113,11 +113,12 @@ def phase_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", W.phase_label(codes, {"PHASE1": "I", "PHASE2": "II", "PHASE3": "III"}).alias("phase"), W.sponsor_class(F.lower("o_orderstatus"), {"F": "Industry", "O": "NIH"}, "Other").alias("sponsor"))
 
 
-@query(r"SELECT conv_id, turn, md5(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'))) AS folded FROM conversations WHERE regexp_full_match(text, '[\x00-\x7FÀ-ÖØ-Ýà-öù-ýñ]*')")
+@query(r"SELECT 'c' AS of, conv_id AS id, turn AS n, md5(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS folded FROM conversations UNION ALL SELECT 'd', doc_id, NULL, md5(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) FROM documents")
 def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of Latin letters without their marks."""
-    df = read(spark, sf_dir, "conversations").where(F.col("text").rlike(r"^[\x00-\x7FÀ-ÖØ-Ýà-öù-ýñ]*$"))
-    return df.select("conv_id", "turn", F.md5(T.fold_accents(F.col("text")).cast("binary")).alias("folded"))
+    """All texts of conversations and documents without their marks."""
+    texts = read(spark, sf_dir, "conversations").select(F.lit("c").alias("of"), F.col("conv_id").alias("id"), F.col("turn").alias("n"), "text")
+    texts = texts.unionByName(read(spark, sf_dir, "documents").select(F.lit("d").alias("of"), F.col("doc_id").alias("id"), F.lit(None).cast("long").alias("n"), "text"))
+    return texts.select("of", "id", "n", F.md5(T.fold_accents(F.col("text")).cast("binary")).alias("folded"))
 
 
 _AUTHORS = "CASE c_custkey % 4 WHEN 0 THEN 'Abel K' WHEN 1 THEN 'Abel K, Dorn LM' WHEN 2 THEN 'Abel K, Dorn LM, Eck P' ELSE 'van Abel KJ, Dorn LM, Eck P, Fry O' END"
