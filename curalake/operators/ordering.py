@@ -26,12 +26,7 @@ def capped(array: Column, cap: int) -> Column:
     return F.struct(F.least(F.size(array), F.lit(cap)).alias("shown"), F.size(array).alias("total"), F.slice(array, 1, cap).alias("items"))
 
 
-def request_order(requested: DataFrame, df: DataFrame, key: str) -> DataFrame:
-    """Rows of df in the order of requested (pos, key)."""
-    return requested.join(df, key).orderBy("pos")
-
-
-def numbered(df: DataFrame, order: Sequence[str], out: str, after: int = 0) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str | Column], out: str, after: int = 0) -> DataFrame:
     """df with its rows numbered in the order given, from after + 1 on. The order must be total.
 
     Numbers come from sorted range partitions and their sizes, so no task holds all rows. The partitions are a table
@@ -60,3 +55,32 @@ def listed(c: Column, names: Sequence[str]) -> Column:
     """The place of a value in a list, behind all of them if it isn't there."""
     place = F.array_position(F.array(*map(F.lit, names)), c)
     return F.when(place > 0, place).otherwise(F.lit(len(names) + 1))
+
+
+#: The collation in which letters are equal whatever their case and accents.
+LOCALE = "UNICODE_CI_AI"
+
+
+def locale_order(c: str | Column, descending: bool = False) -> list[Column]:
+    """Texts by letters whatever their case and accents, numbers inside them by value; null is last both ways.
+
+    Numbers are padded, so that one collated text is the key: up to 20 digits go by value.
+    """
+    parts = F.regexp_extract_all(F.col(c) if isinstance(c, str) else c, F.lit(r"\d+|\D+"), F.lit(0))
+    key = F.collate(F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, F.greatest(F.length(x), F.lit(20)), F.lit("0"))).otherwise(x)), ""), LOCALE)
+    return [key.desc_nulls_last() if descending else key.asc_nulls_last()]
+
+
+def spellings(df: DataFrame, column: str) -> DataFrame:
+    """Groups of texts equal in the locale: their most frequent spelling (of ties the first by code point), rows and spellings; nulls are in none.
+
+    Spellings are counted before groups are made, so a frequent one is reduced where it stands.
+    """
+    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("spelling")).agg(F.count("*").alias("n"))
+    usual = F.min_by("spelling", F.struct(-F.col("n"), "spelling"))
+    return counted.groupBy(F.collate("spelling", LOCALE).alias("_k")).agg(usual.alias("spelling"), F.sum("n").alias("rows"), F.count("*").alias("spellings")).drop("_k")
+
+
+def locale_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str) -> DataFrame:
+    """Rows whose texts are equal in the locale; nulls match nothing."""
+    return left.join(right, F.collate(F.col(left_on), LOCALE) == F.collate(F.col(right_on), LOCALE))
