@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -42,8 +43,10 @@ _WHITE = r"\x00-\x20\x7f-\xa0\xad ᠎ -‏ -  -⁯　﻿" + MARK
 _CUT = f" (?<=[^{_WHITE}] )(?=[^{_WHITE}])"
 #: A space that is no cut. A text without one, which is the usual text, is split at every space.
 _NO_CUT = f" (?:(?<=(?:^|[{_WHITE}]) )|(?=$|[{_WHITE}]))"
-#: Bytes of text of a slice, and words that are joined at a time.
-SLICE, WORDS = 1 << 27, 1 << 19
+#: The same for Python, which wants lookbehinds of one width.
+_ODD, _SPLIT = re.compile(f"(?:^|[{_WHITE}]) | (?:$|[{_WHITE}])"), re.compile(_CUT)
+#: Bytes of text of a slice, words that are joined at a time, and letters that are split at a time.
+SLICE, WORDS, LETTERS = 1 << 27, 1 << 18, 1 << 21
 
 _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
@@ -156,12 +159,11 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own: list[pa.RecordBatch] = []  # words of the slice
     at, table = None, None
 
-    def results(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.column("words")
+    def results(ids: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
         flat = lists.flatten()
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        hashes = [hashlib.sha256() for _ in range(batch.num_rows)]
-        sums = np.zeros((len(_SUMS), batch.num_rows), np.int64)
+        hashes = [hashlib.sha256() for _ in range(len(ids))]
+        sums = np.zeros((len(_SUMS), len(ids)), np.int64)
         started = -1
         for low in range(0, len(flat), WORDS):
             high = min(low + WORDS, len(flat))
@@ -172,12 +174,27 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.clip(bounds[first : last + 1], low, high) - low
             where = place.to_numpy()
             for k, c in enumerate(_SUMS):
-                sums[k, first:last] += np.add.reduceat(table[c][where], cuts[:-1])
+                sums[k, first:last] += np.add.reduceat(table[c][where], cuts[:-1], dtype=np.int64)
             texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), table["groups"].take(place)), b";")
             for doc, text in zip(range(first, last), texts.to_pylist()):
                 hashes[doc].update(b";" + text if doc == started else text)
                 started = doc
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, sums), pa.array([h.hexdigest() for h in hashes])], schema=_RESULT)
+        return pa.RecordBatch.from_arrays([ids, *map(pa.array, sums), pa.array([h.hexdigest() for h in hashes])], schema=_RESULT)
+
+    def split(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+        """Ids and words of documents, LETTERS of text at a time; a text with an odd space is cut by the pattern."""
+        size = pc.binary_length(batch.column("text")).to_numpy().cumsum()
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + LETTERS)))
+            part = batch.slice(low, high - low)
+            texts = part.column("text")
+            if any(_ODD.search(t) for t in texts.to_pylist()):
+                words = pa.array([_SPLIT.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+            else:
+                words = pc.split_pattern(texts, " ")
+            yield part.column("doc_id"), words
+            low = high
 
     for whole in batches:
         kinds, slices = whole.column("kind").to_numpy(), whole.column("slice").to_numpy()
@@ -190,11 +207,13 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own.append(batch.select(["word", "groups", *_SUMS]))
                 continue
             if table is None:
-                found = pa.Table.from_batches(own).combine_chunks()
-                table = {c: found[c].combine_chunks() for c in ("word", "groups")} | {c: found[c].to_numpy() for c in _SUMS}
+                table = {c: pa.chunked_array([b.column(c) for b in own]).combine_chunks() for c in ("word", "groups")}
                 table["groups"] = table["groups"].cast(pa.binary())
+                for c in _SUMS:  # a word has fewer tokens than an int32 can count
+                    table[c] = np.concatenate([b.column(c).to_numpy() for b in own]).astype(np.int64 if c == "count_sum" else np.int32)
                 own = []
-            yield results(batch)
+            for ids, lists in split(batch):
+                yield results(ids, lists)
     give_back()
 
 
@@ -220,6 +239,6 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     tail = dealt.select("slice", F.lit(1).alias("kind"), *nothing, "doc_id", "text")
     both = head.unionByName(tail).repartition("slice").sortWithinPartitions("slice", "kind")
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in _SUMS) + ", groups_sha256 string"
-    out = both.withColumn("words", _words("text")).drop("text").mapInArrow(_folded, schema)
+    out = both.mapInArrow(_folded, schema)
     empty = rows.where("text is null").select("doc_id", *(F.lit(0).cast("long").alias(c) for c in _SUMS), F.lit("").alias("groups_sha256"))
     return out.unionByName(empty)

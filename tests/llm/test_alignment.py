@@ -104,17 +104,18 @@ def test_blocks():
 
     words = [["a", "b", "a"], ["b"], ["a"] * 9, ["b", "a"]]
     sums = {"a": (1, 2, 3, 4, 5, 6), "b": (10, 20, 30, 40, 50, 60)}
-    head = {"slice": [4, 4], "kind": [0, 0], "word": ["a", "b"], "groups": ["1|2", "3|4"], **{c: [sums[w][k] for w in "ab"] for k, c in enumerate(alignment._SUMS)}, "doc_id": [None] * 2, "words": [None] * 2}
-    tail = {"slice": [4] * 4, "kind": [1] * 4, "word": [None] * 4, "groups": [None] * 4, **{c: [None] * 4 for c in alignment._SUMS}, "doc_id": [1, 2, 3, 4], "words": words}
-    types = pa.schema([("slice", pa.int32()), ("kind", pa.int32()), ("word", pa.string()), ("groups", pa.string()), *((c, pa.int64()) for c in alignment._SUMS), ("doc_id", pa.int64()), ("words", pa.list_(pa.string()))])
+    head = {"slice": [4, 4], "kind": [0, 0], "word": ["a", "b"], "groups": ["1|2", "3|4"], **{c: [sums[w][k] for w in "ab"] for k, c in enumerate(alignment._SUMS)}, "doc_id": [None] * 2, "text": [None] * 2}
+    tail = {"slice": [4] * 4, "kind": [1] * 4, "word": [None] * 4, "groups": [None] * 4, **{c: [None] * 4 for c in alignment._SUMS}, "doc_id": [1, 2, 3, 4], "text": [" ".join(w) for w in words]}
+    types = pa.schema([("slice", pa.int32()), ("kind", pa.int32()), ("word", pa.string()), ("groups", pa.string()), *((c, pa.int64()) for c in alignment._SUMS), ("doc_id", pa.int64()), ("text", pa.string())])
     batches = [pa.RecordBatch.from_pydict(x, types) for x in (head, tail)]
-    before = alignment.WORDS
+    before = alignment.WORDS, alignment.LETTERS
     try:
         for block in (1, 2, 4, 100):
-            alignment.WORDS = block
-            (got,) = [b.to_pylist() for b in alignment._folded(iter(batches))]
+            alignment.WORDS, alignment.LETTERS = block, 3 * block
+            got = [row for b in alignment._folded(iter(batches)) for row in b.to_pylist()]
+            assert [row["doc_id"] for row in got] == [1, 2, 3, 4]
             for row, own in zip(got, words):
                 assert [row[c] for c in alignment._SUMS] == list(np.sum([sums[w] for w in own], axis=0))
                 assert row["groups_sha256"] == hashlib.sha256(";".join({"a": "1|2", "b": "3|4"}[w] for w in own).encode()).hexdigest()
     finally:
-        alignment.WORDS = before
+        alignment.WORDS, alignment.LETTERS = before
