@@ -46,7 +46,7 @@ _NO_CUT = f" (?:(?<=(?:^|[{_WHITE}]) )|(?=$|[{_WHITE}]))"
 #: The same for Python, which wants lookbehinds of one width.
 _ODD, _SPLIT = re.compile(f"(?:^|[{_WHITE}]) | (?:$|[{_WHITE}])"), re.compile(_CUT)
 #: Bytes of text of a slice, words that are joined at a time, and letters that are split at a time.
-SLICE, WORDS, LETTERS = 1 << 27, 1 << 18, 1 << 21
+SLICE, WORDS, LETTERS = 1 << 26, 1 << 18, 1 << 21
 
 _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
@@ -233,7 +233,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     scored = scored.groupBy("w").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
     results = saved(words.select("w", "word", "groups", *_SUMS[:4]).join(scored, "w").drop("w"), "results")
     discard(words, pairs.pairs)
-    known = parts.select("slice", "word").join(results, "word")
+    known = saved(parts.select("slice", "word").join(results, "word"), "known")
+    discard(parts, results)
     head = known.select("slice", F.lit(0).alias("kind"), "word", "groups", *_SUMS, F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     nothing = [F.lit(None).cast("string").alias(c) for c in ("word", "groups")] + [F.lit(None).cast("long").alias(c) for c in _SUMS]
     tail = dealt.select("slice", F.lit(1).alias("kind"), *nothing, "doc_id", "text")

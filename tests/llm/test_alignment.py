@@ -77,7 +77,7 @@ ODD = [
 ]
 
 
-@pytest.mark.parametrize("size", [1 << 27, 300])
+@pytest.mark.parametrize("size", [1 << 26, 300])
 def test_query(spark, docs, none, rows, monkeypatch, size):
     """Nulls, odd white space, marks, long words, repeated rows, clashing columns; slices of a few texts."""
     monkeypatch.setattr(alignment, "SLICE", size)
