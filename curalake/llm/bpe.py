@@ -133,7 +133,7 @@ class WordBPE:
         for text, i in vocab.items():
             if text not in self.special and self.automaton.reached(i):
                 self._add(text, i)
-        self.pieces, self.words = Memo(self._piece, 50_000), Memo(self._word, 250_000)
+        self.pieces, self.words = Memo(self._piece, 50_000), Memo(self._word, 125_000)
         self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
 
     def _add(self, text: str, token: int) -> None:
