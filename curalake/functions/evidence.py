@@ -1,4 +1,4 @@
-"""Evidence entries of the form `Type (detail)`, traits and names of agents."""
+"""Evidence entries in the printed form `Type (detail)`, traits and names (X12, X13, X19, X21, X30-X33, F19, F27); omics.py has the stored form."""
 
 from __future__ import annotations
 
@@ -93,21 +93,6 @@ def evidence_cell(c: Column, types: Sequence[str]) -> Column:
     return publishable(F.transform(parts, lambda x: balanced(strip(x))), types)
 
 
-def agent_name(c: Column, folds: Mapping[str, str] | None = None) -> Column:
-    """The names of a combination in alphabetical order, without doses, forms, arms, acronyms and salts, with one spelling."""
-
-    def one(x: Column) -> Column:
-        x = F.regexp_replace(x, r"(?i)\b\d+(?:\.\d+)?\s*(?:mg|g|mcg|ml|iu|%)(?:/\w+)?\b", " ")
-        x = F.regexp_replace(x, r"(?i)\b(?:tablets?|capsules?|injections?|oral|infusion|arm [a-z0-9])\b", " ")
-        x = F.regexp_replace(x, r"\(([A-Z0-9-]{2,8})\)", " ")
-        x = F.regexp_replace(x, r"(?i)\s(?:hydrochloride|sodium|mesylate|sulfate)\b", " ")
-        x = F.trim(F.regexp_replace(x, r"\s+", " "))
-        x = lookup(x, folds) if folds else x
-        return F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1_000_000)))
-
-    return F.array_join(F.array_sort(in_order(F.transform(F.split(F.coalesce(c, F.lit("")), r"\s*(?:\+|/|\band\b)\s*"), one))), " + ")
-
-
 def trade_stem(c: Column) -> Column:
     """A name without the code behind it."""
     return F.regexp_replace(strip(c), r"\s+[A-Z]{1,4}-?\d+$", "")

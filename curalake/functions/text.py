@@ -128,20 +128,53 @@ def targets(c: Column) -> Column:
     return F.array_distinct(F.filter(named, lambda x: ~F.upper(x).isin(*NO_TARGET)))
 
 
+def given(value: Column, then) -> Column:
+    """then(value), with value computed once however often it is named there."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _open_ends(c: Column) -> Column:
+    """What the parentheses of a text leave when pairs are gone: `down` closing ones, then `up` opening ones."""
+
+    def step(s: Column, sign: Column) -> Column:
+        opens, closes = sign == "(", (sign == ")") & (s["up"] > 0)
+        up = s["up"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        return F.struct((s["down"] + F.when((sign == ")") & ~closes, 1).otherwise(0)).alias("down"), up.alias("up"))
+
+    return F.aggregate(F.split(F.regexp_replace(c, "[^()]", ""), ""), F.struct(F.lit(0).alias("down"), F.lit(0).alias("up")), step)
+
+
+def is_balanced(c: Column) -> Column:
+    """Whether every parenthesis has its other one."""
+    return given(_open_ends(c), lambda s: (s["down"] == 0) & (s["up"] == 0))
+
+
+def top_level(c: Column, separator: str) -> Column:
+    """A text cut at a separator outside parentheses, as it is. A closing parenthesis without an opening one counts for nothing.
+
+    Cuts at every separator, then a fold over the pieces keeps the depth and where parts start; pieces of a part are joined.
+    """
+
+    def step(s: Column, ends: Column) -> Column:
+        starts = F.when(s["depth"] == 0, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"])
+        depth = F.greatest(s["depth"] - ends["down"], F.lit(0)) + ends["up"]
+        return F.struct((s["at"] + 1).alias("at"), depth.alias("depth"), starts.alias("starts"))
+
+    def parts(pieces: Column) -> Column:
+        none = F.struct(F.lit(1).alias("at"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("starts"))
+
+        def cut(starts: Column) -> Column:
+            end = lambda i: F.coalesce(F.try_element_at(starts, i + 2), F.size(pieces) + 1)
+            return F.transform(starts, lambda at, i: F.array_join(F.slice(pieces, at, end(i) - at), separator))
+
+        return given(F.aggregate(F.transform(pieces, _open_ends), none, step, lambda s: s["starts"]), cut)
+
+    return given(F.split(c, re.escape(separator), -1), parts)
+
+
 def split_top_level(c: Column, separator: str = ",") -> Column:
-    """At separators outside nested parentheses; a fold over the characters that keeps the depth."""
-    start = F.struct(F.lit(0).alias("depth"), F.array(F.lit("")).alias("parts"))
-
-    def step(state: Column, ch: Column) -> Column:
-        depth = state["depth"] + F.when(ch == "(", 1).when((ch == ")") & (state["depth"] > 0), -1).otherwise(0)
-        last = F.element_at(state["parts"], -1)
-        head = F.slice(state["parts"], F.lit(1), F.size(state["parts"]) - 1)
-        grown = F.concat(head, F.array(F.concat(last, ch)))
-        cut = (ch == separator) & (state["depth"] == 0)
-        return F.struct(depth.alias("depth"), F.when(cut, F.concat(state["parts"], F.array(F.lit("")))).otherwise(grown).alias("parts"))
-
-    parts = F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), start, step, lambda s: s["parts"])
-    return F.transform(parts, strip)
+    """At separators outside nested parentheses, each part without its blanks."""
+    return F.transform(top_level(c, separator), strip)
 
 
 def canonical_xref(source: Column, reference: Column) -> Column:

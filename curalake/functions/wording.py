@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from curalake.functions.sentinel import strip
+from curalake.functions.text import given
 
 
 def missing_to_null(c: Column, words: Sequence[str]) -> Column:
@@ -53,16 +54,25 @@ def sponsor_class(c: Column, folds: Mapping[str, str], other: str) -> Column:
 
 
 def first_author(authors: Column) -> Column:
-    """The surname that leads a list `Smith J, Doe A`."""
-    return F.regexp_replace(strip(F.element_at(F.split(authors, ","), 1)), r"\s+\p{Lu}{1,3}$", "")
+    """Who leads a list `Smith J, Doe A`, as `Smith, J.`; a name without initials behind it stays whole; null for none."""
+    name = F.regexp_replace(strip(F.element_at(F.split(authors, ","), 1)), r"(?U)\s+", " ")
+    initials = F.replace(F.substring_index(name, " ", -1), F.lit("."), F.lit(""))
+    surname = F.regexp_replace(name, r" [^ ]*$", "")
+    shown = F.concat(surname, F.lit(", "), F.substring(F.substring_index(name, " ", -1), 1, 1), F.lit("."))
+    return F.nullif(F.when(name.contains(" ") & initials.rlike(r"^\p{Lu}{1,4}(-\p{Lu}{1,2})?$"), shown).otherwise(name), F.lit(""))
 
 
-def short_citation(authors: Column, year: Column) -> Column:
-    """One author, two, or the first with et al., and the year."""
-    parts = F.transform(F.split(authors, r"\s*,\s*"), first_author)
-    n = F.size(parts)
-    who = F.when(n == 1, parts[0]).when(n == 2, F.concat(parts[0], F.lit(" & "), F.try_element_at(parts, F.lit(2)))).otherwise(F.concat(parts[0], F.lit(" et al.")))
-    return F.concat(who, F.lit(", "), year.cast("string"))
+def citation_year(date: Column) -> Column:
+    """The first year from 1800 to 2099 that stands alone in a date; null for none."""
+    return F.nullif(F.regexp_extract(date, r"\b(1[89]\d{2}|20\d{2})\b", 1), F.lit(""))
+
+
+def short_citation(authors: Column, date: Column, pmid: Column) -> Column:
+    """`Smith, J., et al. (2022)`; without a year, the name; without a name, the id."""
+    several = F.size(F.filter(F.split(authors, ","), lambda x: strip(x) != "")) > 1
+    who = F.concat(first_author(authors), F.when(several, F.lit(", et al.")).otherwise(F.lit("")))
+    year = F.coalesce(F.concat(F.lit(" ("), citation_year(date), F.lit(")")), F.lit(""))
+    return F.coalesce(F.concat(who, year), F.concat(F.lit("PMID "), pmid.cast("string")))
 
 
 def doi_link(c: Column) -> Column:
@@ -78,18 +88,50 @@ def escaped(c: Column) -> Column:
     return c
 
 
-def formatted_citation(authors: Column, title: Column, source: Column) -> Column:
-    """Three authors at most, then et al.; the title with a capital; lines with breaks between, absent ones left out."""
-    parts = F.split(authors, r"\s*,\s*")
-    who = F.concat(F.array_join(F.slice(parts, 1, 3), ", "), F.when(F.size(parts) > 3, ", et al.").otherwise(""))
-    what = F.concat(F.upper(F.substring(title, 1, 1)), F.substring(title, 2, 1_000_000))
-    return F.concat_ws("<br>", escaped(who), escaped(what), escaped(F.nullif(strip(source), F.lit(""))))
+def author_list(names: Column, most: int = 3) -> Column:
+    """The names, or the first of them and et al.; null for none."""
+    rest = F.when(F.size(names) > most, F.lit(", et al.")).otherwise(F.lit(""))
+    return F.when(F.size(names) > 0, F.concat(F.array_join(F.slice(names, 1, most), ", "), rest))
+
+
+def sentence_case(c: Column) -> Column:
+    """Single blanks, and a capital in front; later letters stay as they are."""
+    words = strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2)))
+
+
+def formatted_citation(authors: Column, title: Column, journal: Column, date: Column, doi: Column) -> Column:
+    """Authors in bold, the title in italics, the journal with its date, the DOI, with breaks between; null and empty ones are left out."""
+    there = lambda c: escaped(F.nullif(c, F.lit("")))
+    when = F.coalesce(F.concat(F.lit(" ("), there(date), F.lit(")")), F.lit(""))
+    what = there(F.when(title != "", sentence_case(title)))
+    what = F.when(title != "", F.concat(F.lit("<i>"), F.coalesce(what, F.lit("")), F.lit("</i>")))
+    return F.concat_ws("<br>", F.concat(F.lit("<b>"), there(authors), F.lit("</b>")), what, F.concat(there(journal), when), F.concat(F.lit("DOI: "), there(doi)))
+
+
+#: The labels of a whole citation's lines, and the entities that are read back.
+CITATION_LABELS = ("Authors", "Title", "Journal", "DOI")
+ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " "}
+
+
+def plain_line(c: Column) -> Column:
+    """A line without tags, its entities as signs; each entity is read once, so `&amp;lt;` is `&lt;`."""
+    c = F.regexp_replace(c, "<[^>]*>", "")
+    for entity, sign in sorted(ENTITIES.items(), key=lambda e: e[0] == "&amp;"):
+        c = F.replace(c, F.lit(entity), F.lit(sign))
+    return strip(c)
 
 
 def citation_lines(c: Column) -> Column:
-    """The lines of a formatted citation as plain texts."""
-    plain = lambda x: F.trim(F.regexp_replace(x, r"<[^>]*>", ""))
-    return F.filter(F.transform(F.split(c, "<br>"), plain), lambda x: x != "")
+    """The lines of a formatted citation as structs of label and value; of other than four lines one row, `Reference`; null stays null."""
+
+    def labelled(lines: Column) -> Column:
+        whole = F.transform(lines, lambda x, i: F.struct(F.element_at(F.array(*map(F.lit, CITATION_LABELS)), i + 1).alias("label"), F.when(i == 3, F.regexp_replace(x, r"(?i)^DOI:\s*", "")).otherwise(x).alias("value")))
+        one = F.array(F.struct(F.lit("Reference").alias("label"), F.array_join(lines, " ").alias("value")))
+        return F.when(F.size(lines) == len(CITATION_LABELS), whole).otherwise(one)
+
+    lines = F.filter(F.transform(F.split(c, r"(?i)<br\s*/?>"), plain_line), lambda x: x != "")
+    return F.when(c.isNotNull(), given(lines, labelled))
 
 
 def located(text: Column, quote: Column) -> Column:

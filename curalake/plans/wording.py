@@ -75,16 +75,13 @@ def evidence_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", _joined(E.evidence_cell(F.expr(_EVIDENCE), _TYPES)).alias("entries"))
 
 
-_AGENT = "CASE p_partkey % 6 WHEN 0 THEN p_name || ' ' || p_size || ' mg tablets' WHEN 1 THEN p_name || ' hydrochloride' WHEN 2 THEN p_name || ' (ABC-1)' WHEN 3 THEN p_type || ' + ' || p_name WHEN 4 THEN upper(p_name) || ' oral / ' || p_name ELSE p_brand END"
+_STEM = "upper(left(p_name, 1)) || substr(p_name, 2)"
 
 
-@query(r"""WITH a AS (SELECT p_partkey, upper(left(p_name, 1)) || substr(p_name, 2) AS n, upper(left(p_type, 1)) || lower(substr(p_type, 2)) AS t, p_brand, p_name, p_size FROM part)
-    SELECT p_partkey, CASE WHEN p_partkey % 6 = 3 THEN least(t, n) || CASE WHEN t = n THEN '' ELSE ' + ' || greatest(t, n) END WHEN p_partkey % 6 = 5 THEN CASE p_brand WHEN 'Brand#2' THEN 'Second' ELSE p_brand END ELSE n END AS agent,
-    n || ' X' AS stem FROM a""")
-def agent_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of agents without doses, forms, salts and codes."""
-    stem = E.trade_stem(F.concat(F.initcap(F.substring("p_name", 1, 1)), F.expr("substr(p_name, 2)"), F.lit(" X AB-"), F.col("p_size").cast("string")))
-    return read(spark, sf_dir, "part").select("p_partkey", E.agent_name(F.expr(_AGENT), {"Brand#2": "second"}).alias("agent"), stem.alias("stem"))
+@query(f"SELECT p_partkey, {_STEM} || ' X' AS stem FROM part")
+def trade_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names without the code behind them."""
+    return read(spark, sf_dir, "part").select("p_partkey", E.trade_stem(F.expr(f"{_STEM} || ' X AB-' || p_size")).alias("stem"))
 
 
 @query("""SELECT p_partkey, regexp_matches(p_name, '(?i)\\bring\\b') OR p_partkey % 4 = 0 AS comparator FROM part""")
@@ -121,21 +118,6 @@ def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("of", "id", "n", F.md5(T.fold_accents(F.col("text")).cast("binary")).alias("folded"))
 
 
-_AUTHORS = "CASE c_custkey % 4 WHEN 0 THEN 'Abel K' WHEN 1 THEN 'Abel K, Dorn LM' WHEN 2 THEN 'Abel K, Dorn LM, Eck P' ELSE 'van Abel KJ, Dorn LM, Eck P, Fry O' END"
-
-
-@query(f"""WITH a AS (SELECT *, {_AUTHORS} AS authors, lower(c_name) || ' <' || c_nationkey || '> & co' AS title, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE ' ' END AS source FROM customer)
-    SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Abel, ' WHEN 1 THEN 'Abel & Dorn, ' WHEN 2 THEN 'Abel et al., ' ELSE 'van Abel et al., ' END || (1990 + c_nationkey) AS short,
-    CASE c_custkey % 4 WHEN 3 THEN 'van Abel KJ, Dorn LM, Eck P, et al.' ELSE authors END || '<br>' || upper(left(title, 1)) || replace(replace(replace(substr(title, 2), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || CASE WHEN trim(source) = '' THEN '' ELSE '<br>' || source END AS formatted,
-    CASE WHEN c_custkey % 3 > 0 THEN 'https://doi.org/10.1234/x%23' || c_custkey END AS doi, CASE WHEN trim(source) = '' THEN 2 ELSE 3 END AS lines FROM a""")
-def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short and formatted citations, links of DOIs, and the lines of a formatted one."""
-    authors, title, source = F.expr(_AUTHORS), F.concat(F.lower("c_name"), F.lit(" <"), F.col("c_nationkey").cast("string"), F.lit("> & co")), F.expr("CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE ' ' END")
-    formatted = W.formatted_citation(authors, title, source)
-    doi = W.doi_link(F.expr("CASE WHEN c_custkey % 3 > 0 THEN '10.1234/x#' || c_custkey ELSE 'doi ' || c_custkey END"))
-    return read(spark, sf_dir, "customer").select("c_custkey", W.short_citation(authors, 1990 + F.col("c_nationkey")).alias("short"), formatted.alias("formatted"), doi.alias("doi"), F.size(W.citation_lines(formatted)).alias("lines"))
-
-
 _WORDING = "upper(p_type) || ' uses AB and ABC of ' || p_brand || ' in XAB, QZ ' || CASE WHEN p_partkey % 2 = 0 THEN 'AB' ELSE 'TWAS' END"
 
 

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from curalake import catalog
+from curalake.functions import agents as A
 from curalake.functions import evidence as E
+from curalake.functions import omics as O
 from curalake.functions import text as T
 from curalake.functions import wording as W
 from curalake.operators import reports, sync
@@ -16,7 +18,10 @@ TEXTS = {
     "balanced": E.balanced,
     "cell": lambda c: E.evidence_cell(c, TYPES),
     "coerced": lambda c: E.coerced(F.array(c), {"x": "X"}),
-    "agent": E.agent_name,
+    "agent": A.agent_name,
+    "stored": lambda c: O.label(O.entry(c)),
+    "wire": lambda c: O.to_wire(c, c, F.array(F.struct(c.alias("text"), F.lit(True).alias("colocalized")))),
+    "entries": O.cell_entries,
     "stem": E.trade_stem,
     "acronyms": lambda c: E.acronyms(c, TYPES),
     "uncovered": lambda c: E.uncovered(c, TYPES),
@@ -25,9 +30,10 @@ TEXTS = {
     "leading": lambda c: E.leading_type(c, TYPES),
     "registry": lambda c: W.registry(c, {"A": "b"}),
     "author": W.first_author,
-    "short": lambda c: W.short_citation(c, F.lit(1)),
-    "formatted": lambda c: W.formatted_citation(c, c, c),
+    "short": lambda c: W.short_citation(c, c, F.lit(1)),
+    "formatted": lambda c: W.formatted_citation(c, c, c, c, c),
     "doi": W.doi_link,
+    "lines": W.citation_lines,
     "located": lambda c: W.located(c, c),
     "front": lambda c: W.without_back_matter(c, "x"),
     "issues": W.field_issues,
