@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curalake.llm.common import co_partitioned, discard, give_back, saved
+from curalake.llm.common import co_partitioned, discard, give_back, saved, setting
 from curalake.llm.sentence_pieces import MARK
 
 #: White space of any version of Unicode, controls and format characters: no cut is made next to them, though some would be safe.
@@ -46,7 +46,7 @@ _NO_CUT = f" (?:(?<=(?:^|[{_WHITE}]) )|(?=$|[{_WHITE}]))"
 #: The same for Python, which wants lookbehinds of one width.
 _ODD, _SPLIT = re.compile(f"(?:^|[{_WHITE}]) | (?:$|[{_WHITE}])"), re.compile(_CUT)
 #: Bytes of text of a slice, words that are joined at a time, and letters that are split at a time.
-SLICE, WORDS, LETTERS = 1 << 26, 1 << 18, 1 << 21
+SLICE, WORDS, LETTERS = 1 << 25, 1 << 17, 1 << 20
 
 _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
@@ -240,6 +240,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     tail = dealt.select("slice", F.lit(1).alias("kind"), *nothing, "doc_id", "text")
     both = head.unionByName(tail).repartition("slice").sortWithinPartitions("slice", "kind")
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in _SUMS) + ", groups_sha256 string"
-    out = both.mapInArrow(_folded, schema)
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"):
+        out = saved(both.mapInArrow(_folded, schema), "folded")
+    discard(known)
     empty = rows.where("text is null").select("doc_id", *(F.lit(0).cast("long").alias(c) for c in _SUMS), F.lit("").alias("groups_sha256"))
     return out.unionByName(empty)
