@@ -44,9 +44,11 @@ _CUT = f" (?<=[^{_WHITE}] )(?=[^{_WHITE}])"
 #: A space that is no cut. A text without one, which is the usual text, is split at every space.
 _NO_CUT = f" (?:(?<=(?:^|[{_WHITE}]) )|(?=$|[{_WHITE}]))"
 #: The same for Python, which wants lookbehinds of one width.
-_ODD, _SPLIT = re.compile(f"(?:^|[{_WHITE}]) | (?:$|[{_WHITE}])"), re.compile(_CUT)
-#: Bytes of text of a slice, words that are joined at a time, and letters that are split at a time.
-SLICE, WORDS, LETTERS = 1 << 25, 1 << 17, 1 << 20
+_SPLIT = re.compile(_CUT)
+#: The same as _NO_CUT for Arrow, which has no lookaround.
+_ODD = f"(?:^|[{_WHITE}]) | (?:$|[{_WHITE}])"
+#: Bytes of text of a slice, words that are joined at a time, and bytes of text that are split and looked up at a time.
+SLICE, WORDS, LETTERS = 1 << 25, 1 << 17, 1 << 24
 
 _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
@@ -165,55 +167,73 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = [hashlib.sha256() for _ in range(len(ids))]
         sums = np.zeros((len(_SUMS), len(ids)), np.int64)
         started = -1
+        place = pc.index_in(flat, value_set=table["word"])  # builds a table of the slice's words each time, so blocks are large
+        if place.null_count:
+            raise ValueError("a word of a document isn't among the words of its slice")
         for low in range(0, len(flat), WORDS):
             high = min(low + WORDS, len(flat))
-            place = pc.index_in(flat.slice(low, high - low), value_set=table["word"])
-            if place.null_count:
-                raise ValueError("a word of a document isn't among the words of its slice")
+            part = place.slice(low, high - low)
             first, last = np.searchsorted(bounds, low, "right") - 1, np.searchsorted(bounds, high, "left")
             cuts = np.clip(bounds[first : last + 1], low, high) - low
-            where = place.to_numpy()
+            where = part.to_numpy()
             for k, c in enumerate(_SUMS):
                 sums[k, first:last] += np.add.reduceat(table[c][where], cuts[:-1], dtype=np.int64)
-            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), table["groups"].take(place)), b";")
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), table["groups"].take(part)), b";")
             for doc, text in zip(range(first, last), texts.to_pylist()):
                 hashes[doc].update(b";" + text if doc == started else text)
                 started = doc
         return pa.RecordBatch.from_arrays([ids, *map(pa.array, sums), pa.array([h.hexdigest() for h in hashes])], schema=_RESULT)
 
-    def split(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.ListArray]]:
-        """Ids and words of documents, LETTERS of text at a time; a text with an odd space is cut by the pattern."""
-        size = pc.binary_length(batch.column("text")).to_numpy().cumsum()
+    def split(batch: pa.Table) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+        """Ids and words of documents, LETTERS of text at a time; texts with an odd space are cut by the pattern, apart from the others."""
+        upto = pc.binary_length(batch.column("text")).to_numpy().cumsum()
         low = 0
         while low < batch.num_rows:
-            high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + LETTERS)))
+            high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + LETTERS)))
             part = batch.slice(low, high - low)
-            texts = part.column("text")
-            if any(_ODD.search(t) for t in texts.to_pylist()):
-                words = pa.array([_SPLIT.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
-            else:
-                words = pc.split_pattern(texts, " ")
-            yield part.column("doc_id"), words
+            odd = pc.match_substring_regex(part.column("text"), _ODD)
+            for docs, cut in ((part.filter(pc.invert(odd)), lambda texts: pc.split_pattern(texts, " ")), (part.filter(odd), by_pattern)):
+                if docs.num_rows:
+                    yield docs.column("doc_id").combine_chunks(), cut(docs.column("text").combine_chunks())
             low = high
 
+    def by_pattern(texts: pa.Array) -> pa.ListArray:
+        return pa.concat_arrays([pa.array([_SPLIT.split(t.as_py())], pa.list_(pa.string())) for t in texts])
+
+    def waiting() -> Iterator[pa.RecordBatch]:
+        """Results of the documents that wait; the words of their slice are complete."""
+        nonlocal own, table, size
+        if table is None:
+            table = {c: pa.chunked_array([b.column(c) for b in own]).combine_chunks() for c in ("word", "groups")}
+            table["groups"] = table["groups"].cast(pa.binary())
+            for c in _SUMS:  # a word has fewer tokens than an int32 can count
+                table[c] = np.concatenate([b.column(c).to_numpy() for b in own]).astype(np.int64 if c == "count_sum" else np.int32)
+            own = []
+        for ids, lists in split(pa.Table.from_batches(held)):
+            yield results(ids, lists)
+        held.clear()
+        size = 0
+
+    held: list[pa.RecordBatch] = []  # documents of the slice, with size bytes of text: below LETTERS before the last batch
+    size = 0
     for whole in batches:
         kinds, slices = whole.column("kind").to_numpy(), whole.column("slice").to_numpy()
         edges = np.flatnonzero(np.r_[True, (kinds[1:] != kinds[:-1]) | (slices[1:] != slices[:-1]), True]) if len(kinds) else []
         for low, high in zip(edges[:-1], edges[1:]):
             batch = whole.slice(low, high - low)
             if slices[low] != at:
+                if held:
+                    yield from waiting()
                 at, own, table = slices[low], [], None
             if kinds[low] == 0:
                 own.append(batch.select(["word", "groups", *_SUMS]))
                 continue
-            if table is None:
-                table = {c: pa.chunked_array([b.column(c) for b in own]).combine_chunks() for c in ("word", "groups")}
-                table["groups"] = table["groups"].cast(pa.binary())
-                for c in _SUMS:  # a word has fewer tokens than an int32 can count
-                    table[c] = np.concatenate([b.column(c).to_numpy() for b in own]).astype(np.int64 if c == "count_sum" else np.int32)
-                own = []
-            for ids, lists in split(batch):
-                yield results(ids, lists)
+            held.append(batch.select(["doc_id", "text"]))
+            size += pc.sum(pc.binary_length(batch.column("text"))).as_py()
+            if size >= LETTERS:
+                yield from waiting()
+    if held:
+        yield from waiting()
     give_back()
 
 
