@@ -245,7 +245,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     dealt = rows.where("text is not null").withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(total // SLICE + 1)).cast("int"))
     parts = saved(dealt.select("slice", F.explode(_words("text")).alias("word")).groupBy("slice", "word").agg(F.count("*").alias("n")), "words")
     ids = encoded(parts.groupBy("word").agg(F.sum("n").alias("n")), a_path, b_path)
-    with co_partitioned(docs.sparkSession):
+    # Lists of a word are gathered in sorted order, one sort for both aggregations: a hash map of lists turns to sorting after 128 keys anyway, each time.
+    with co_partitioned(docs.sparkSession), setting(docs.sparkSession, "spark.sql.execution.useObjectHashAggregateExec", "false"):
         words = saved(aligned(ids), "aligned")
     discard(ids)
     pairs = pair_counts(words)
