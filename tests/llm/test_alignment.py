@@ -119,3 +119,15 @@ def test_blocks():
                 assert row["groups_sha256"] == hashlib.sha256(";".join({"a": "1|2", "b": "3|4"}[w] for w in own).encode()).hexdigest()
     finally:
         alignment.WORDS, alignment.LETTERS = before
+
+
+def test_odd_spaces_in_arrow():
+    """Arrow finds the same odd spaces as Python's pattern, beside any character."""
+    import re
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    beside = [chr(i) for i in [*range(1, 0x3100), 0xFEFF, 0x1F600]]
+    texts = [f"a{c} b" for c in beside] + [f"a {c}b" for c in beside] + ["", " ", "a ", " a", "a b", "a  b", "a \n", "\n a"]
+    assert pc.match_substring_regex(pa.array(texts), alignment._ODD).to_pylist() == [bool(re.search(alignment._ODD, t)) for t in texts]
