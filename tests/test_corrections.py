@@ -47,3 +47,26 @@ def test_disagreement(spark):
 
 def test_empty(spark):
     assert run(spark, [], []) == ({}, {})
+
+
+def test_column_fixes_share_cells(spark):
+    """Column fixes of one value name the same cells: equal ones apply together, others are all refused, also with a fix of one of the cells."""
+    cells = [("s", r, c, v) for r in (1, 2, 3) for c, v in (("a", "x"), ("b", "m"), ("c", "q"))]
+    fixes = [(1, "s", "a", None, None, "x", "y"), (2, "s", "a", None, None, "x", "y"), (3, "s", "b", None, None, "m", "n"), (4, "s", "b", None, None, "m", None), (5, "s", "c", None, None, "q", "r"), (6, "s", "c", 3, "f3", "q", "t"), (7, "s", "a", None, None, "z", "y")]
+    changed, verdicts = run(spark, fixes, cells)
+    assert changed == {(r, "a"): "y" for r in (1, 2, 3)}
+    torn = ("fixes disagree", None, 0)
+    assert verdicts == {1: (None, None, 3), 2: (None, None, 3), 3: torn, 4: torn, 5: torn, 6: torn, 7: ("no cell holds the value", None, 0)}
+
+
+def test_nothing_is_broadcast(spark, tmp_path):
+    """Tables of few bytes on disk may have many rows: joins neither broadcast them nor pair each column fix with each cell."""
+    spark.range(300).selectExpr("'s' AS sheet", "'a' AS col", "id AS row", "'x' AS value").write.parquet(f"{tmp_path}/cells")
+    spark.range(300).selectExpr("CAST(id AS INT) AS line", "'s' AS sheet", "'a' AS col", "CAST(NULL AS LONG) AS row", "CAST(NULL AS STRING) AS fingerprint", "'x' AS old", "'y' AS new").write.parquet(f"{tmp_path}/fixes")
+    cells, fixes = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("cells", "fixes"))
+    prints = cells.selectExpr("sheet", "row", "'f' AS fingerprint")
+    results = corrections.corrected(cells, prints, fixes, cells.selectExpr("sheet", "col", "row", "row AS anchor"))
+    for df in results:
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+        assert df.count() == 300
+    assert {r.cells for r in results[1].collect()} == {300}
