@@ -9,6 +9,7 @@ from curalake.functions import evidence as E
 from curalake.functions import text as T
 from curalake.operators import records, studies
 from curalake.plans.registry import query, read, typed
+from curalake.sources.shared import dealt
 
 
 @query("""SELECT p_partkey, p_name AS title, CASE WHEN p_partkey % 3 > 0 THEN p_brand || ' AB, Smith C' END AS authors, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '19' || (10 + p_size) ELSE '20' || (10 + p_size) END AS year, CASE WHEN p_partkey % 2 = 0 THEN '10.1000/' || p_partkey END AS doi, p_type || ' first & second' AS body FROM part""")
@@ -16,7 +17,7 @@ def article_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of article records in XML."""
     xml = F.expr("""'<article><title> ' || p_name || ' </title>' || CASE WHEN p_partkey % 3 > 0 THEN '<authors><author><last>' || p_brand || '</last><initials>AB</initials></author><author><last>Smith</last><initials>C</initials></author></authors>' ELSE '' END ||
         '<pubdate>' || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '<other>Spring 19' || (10 + p_size) || '</other>' ELSE '<year>20' || (10 + p_size) || '</year>' END || '</pubdate>' || CASE WHEN p_partkey % 2 = 0 THEN '<id type="doi">10.1000/' || p_partkey || '</id>' ELSE '<id type="pmid">1</id>' END || '<p>' || p_type || '</p><p>first &amp; second</p></article>'""")
-    return read(spark, sf_dir, "part").select("p_partkey", records.article(xml).alias("a")).select("p_partkey", "a.*")
+    return dealt(read(spark, sf_dir, "part")).select("p_partkey", records.article(xml).alias("a")).select("p_partkey", "a.*")
 
 
 @query("""SELECT column_name AS name, left(column_name, 1) || ' ' || upper(substr(column_name, 3, 1)) || substr(column_name, 4) AS label, left(column_name, 1) || upper(substr(column_name, 3, 1)) || substr(column_name, 4) AS wire FROM (DESCRIBE customer)""")

@@ -20,6 +20,12 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df over as many tasks as a shuffle has, or as the cluster has cores: for rows of few bytes that cost much, whose files would make few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: computed once, and its lineage ends there."""
     path = shared_folder(df.sparkSession, tag)
