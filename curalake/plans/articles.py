@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from curalake.functions import articles as A
 from curalake.plans.registry import query, read
+from curalake.sources.shared import dealt
 
 _RECORD = """CASE p_partkey % 8
     WHEN 6 THEN '<PubmedArticleSet></PubmedArticleSet>'
@@ -30,7 +31,7 @@ _RECORD = """CASE p_partkey % 8
     CASE WHEN a THEN CASE WHEN p_size % 4 = 0 THEN '10.1/' || p_partkey WHEN p_size % 5 = 0 THEN '10.1/e' || p_partkey END WHEN b THEN '10.2/b' || p_size END AS doi FROM p""")
 def citation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles and chapters with marked-up titles, mixed dates and group authors; empty sets and broken records told apart."""
-    return read(spark, sf_dir, "part").select("p_partkey", A.citation(F.expr(_RECORD)).alias("c")).select("p_partkey", "c.*")
+    return dealt(read(spark, sf_dir, "part")).select("p_partkey", A.citation(F.expr(_RECORD)).alias("c")).select("p_partkey", "c.*")
 
 
 _SPACE = "[\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"

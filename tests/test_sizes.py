@@ -7,7 +7,7 @@ from curalake.catalog import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["article_records"])
+@pytest.mark.parametrize("name", ["article_records", "citation_records"])
 def test_costly_rows_are_dealt(spark, name):
     """Rows of few bytes that cost much are one file, but not one task."""
     df = QUERIES[name](spark, SF)
