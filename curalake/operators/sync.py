@@ -24,13 +24,18 @@ def filled(target: DataFrame, source: DataFrame, key: Column, source_key: str, c
 
 
 def routed(target: DataFrame, source: DataFrame, id_column: str, pos: str) -> DataFrame:
-    """M7: source rows with their route: one refresh for each known id (the last row), an insert for others; a null id is skipped."""
-    known = target.select(id_column).distinct().withColumn("_known", F.lit(True))
-    rows = source.join(known, id_column, "left")
-    last = F.row_number().over(Window.partitionBy(id_column).orderBy(F.desc(pos)))
-    refresh = rows.where("_known").withColumn("_n", last).where("_n = 1").drop("_n").withColumn("route", F.lit("refresh"))
-    rest = rows.where("_known is null").withColumn("route", F.when(F.col(id_column).isNull(), "skip").otherwise("insert"))
-    return refresh.unionByName(rest).drop("_known")
+    """M7: source rows with their route: one refresh for each known id (the last row), an insert for others; a null id is skipped.
+
+    Of several last rows the one with the largest other values. Rows without an id meet no join, so they don't meet in one task.
+    """
+    known = target.select(id_column).where(F.col(id_column).isNotNull()).distinct()
+    named = source.where(F.col(id_column).isNotNull())
+    rest = [c for c in source.columns if c not in (id_column, pos)]
+    last = named.groupBy(id_column).agg(F.max(F.struct(pos, *rest)).alias("_r")).join(known.hint("merge"), id_column, "left_semi")
+    refresh = last.select(id_column, "_r.*").select(*source.columns, F.lit("refresh").alias("route"))
+    insert = named.join(known.hint("merge"), id_column, "left_anti").select(*source.columns, F.lit("insert").alias("route"))
+    skip = source.where(F.col(id_column).isNull()).withColumn("route", F.lit("skip"))
+    return refresh.unionByName(insert).unionByName(skip)
 
 
 def status_sweep(target: DataFrame, statuses: DataFrame, id_column: str, status: str) -> tuple[DataFrame, DataFrame]:

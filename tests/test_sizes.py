@@ -1,8 +1,10 @@
 """What must not grow with the input faster than it does: tasks, groups, batches."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from curalake.catalog import QUERIES
+from curalake.operators import reports, sync
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,3 +14,29 @@ def test_costly_rows_are_dealt(spark, name):
     """Rows of few bytes that cost much are one file, but not one task."""
     df = QUERIES[name](spark, SF)
     assert df.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_merged_lists(spark):
+    """Lists keep the order of first positions, a null position first; a key's rows are reduced to distinct values before they meet."""
+    rows = [("a", 2, 0.9, "t1", 7, "x", True), ("a", 1, 0.9, "t2", 8, "y", False), ("a", 3, 0.9, "t2", 7, "z", None), ("a", None, 0.1, "t3", 9, " ", True), (None, 1, 0.2, "t1", None, None, None)]
+    df = spark.createDataFrame(rows, "k string, pos int, confidence double, trait string, pmid int, protein string, mr boolean")
+    out = reports.merged_entries(df, "k", "pos", "confidence", 0.5, ["trait"], ["pmid"], ["protein"], ["mr"])
+    assert {r.k: tuple(r)[1:] for r in out.collect()} == {"a": (["t2", "t1"], [9, 8, 7], "y", True, 0.9, 4), None: ([], [], None, False, 0.2, 1)}
+    lists = out._jdf.queryExecution().optimizedPlan().toString().split("collect_list", 1)[1]
+    assert "min(" in lists.split("Relation")[0].split("LogicalRDD")[0]
+
+
+def test_rows_without_id_stay_apart(spark):
+    """Rows without an id are skipped where they are, not gathered in one task by a join; of several last rows one is the refresh."""
+    rows = spark.range(0, 1000, 1, 4).selectExpr("CASE WHEN id % 2 = 0 THEN NULL ELSE id % 10 END AS id", "id div 2 AS pos", "id AS other")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "-1")):
+            spark.conf.set(k, v)
+        out = sync.routed(spark.createDataFrame([(1,), (None,), (3,), (77,)], "id long"), rows, "id", "pos")
+        assert out.where("route = 'skip'").select(F.spark_partition_id()).distinct().count() == 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.route: r["count"] for r in out.groupBy("route").count().collect()} == {"skip": 500, "refresh": 2, "insert": 300}
+    assert {tuple(r) for r in out.where("route = 'refresh'").collect()} == {(1, 495, 991, "refresh"), (3, 496, 993, "refresh")}
