@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from curalake.operators.rollup import ratio
 
 
-def in_sequence(value: Column, pos: Column) -> Column:
-    """An aggregate: distinct values that aren't null, in the order of their first positions."""
-    pairs = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(pos.alias("pos"), value.alias("v")))))
-    return F.array_distinct(F.transform(pairs, lambda x: x["v"]))
+def firsts(df: DataFrame, key: str, pos: str, lists: Mapping[str, Column]) -> DataFrame:
+    """For each key the distinct values of each list that aren't null, in the order of their first positions; empty if there are none.
+
+    A value is reduced to its first position where its rows are read, so a key's rows never meet, only its distinct values do.
+    """
+    item = lambda n: F.struct(F.lit(n).alias("_name"), *(F.when(F.lit(m == n), v).alias(m) for m, v in lists.items()))
+    held = df.select(F.col(key).alias("_k"), F.struct(pos).alias("_pos"), F.explode(F.array(*map(item, lists))).alias("_i")).select("_k", "_pos", "_i.*")
+    first = held.where(F.greatest(F.lit(False), *(F.col(n).isNotNull() for n in lists))).groupBy("_k", "_name", *lists).agg(F.min("_pos").alias("_pos"))
+    in_order = lambda n: F.transform(F.array_sort(F.collect_list(F.when(F.col("_name") == n, F.struct("_pos", n)))), lambda x: x[n])
+    return first.groupBy("_k").agg(*(in_order(n).alias(n) for n in lists))
 
 
 def merged_entries(entries: DataFrame, key: str, pos: str, confidence: str, floor: float, claims: Sequence[str], always: Sequence[str], names: Sequence[str], flags: Sequence[str], longest: int = 255) -> DataFrame:
@@ -21,12 +27,13 @@ def merged_entries(entries: DataFrame, key: str, pos: str, confidence: str, floo
     the first name that fits, whether any entry has a flag, and the best confidence (the earliest of equal ones).
     """
     sure = F.col(confidence) >= floor
-    out = [in_sequence(F.when(sure, F.col(c)), F.col(pos)).alias(c) for c in claims]
-    out += [in_sequence(F.col(c), F.col(pos)).alias(c) for c in always]
+    lists = {c: F.when(sure, F.col(c)) for c in claims} | {c: F.col(c) for c in always}
     fits = lambda c: (F.trim(c) != "") & (F.length(c) <= longest)
-    out += [F.min_by(F.when(fits(F.col(c)), F.col(c)), F.when(fits(F.col(c)), F.col(pos))).alias(c) for c in names]
+    out = [F.min_by(F.when(fits(F.col(c)), F.col(c)), F.when(fits(F.col(c)), F.col(pos))).alias(c) for c in names]
     out += [F.coalesce(F.bool_or(F.when(sure, F.col(c))), F.lit(False)).alias(c) for c in flags]
-    return entries.groupBy(key).agg(*out, F.max(confidence).alias(confidence), F.count("*").alias("entries"))
+    rows = entries.groupBy(key).agg(*out, F.max(confidence).alias(confidence), F.count("*").alias("entries"))
+    both = rows.join(firsts(entries, key, pos, lists).hint("merge"), F.col(key).eqNullSafe(F.col("_k")), "left")
+    return both.select(key, *(F.coalesce(c, F.array()).alias(c) for c in lists), *names, *flags, confidence, "entries")
 
 
 def masked(df: DataFrame, only: Column, columns: Sequence[str]) -> DataFrame:
