@@ -81,6 +81,27 @@ def spellings(df: DataFrame, column: str) -> DataFrame:
     return counted.groupBy(F.collate("spelling", LOCALE).alias("_k")).agg(usual.alias("spelling"), F.sum("n").alias("rows"), F.count("*").alias("spellings")).drop("_k")
 
 
+#: Rows of either side in a block of pairs.
+BLOCK = 1_000
+
+
 def locale_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str) -> DataFrame:
-    """Rows whose texts are equal in the locale; nulls match nothing."""
-    return left.join(right, F.collate(F.col(left_on), LOCALE) == F.collate(F.col(right_on), LOCALE))
+    """Rows whose texts are equal in the locale; nulls match nothing.
+
+    The pairs of a text are dealt in blocks of about BLOCK x BLOCK, so a frequent one isn't the work of one task. A row goes to a
+    block by its hash, once for each block of the other side. The number of pairs is the product of both sides: the result itself
+    grows with the square of a group.
+    """
+    key = lambda c: F.collate(F.col(c), LOCALE)
+    counts = lambda df, c, n: df.where(F.col(c).isNotNull()).groupBy(key(c).alias("_k")).agg(F.ceil(F.count("*") / BLOCK).alias(n), F.min(c).alias("_t"))
+    blocks = counts(left, left_on, "_nl").join(counts(right, right_on, "_nr").drop("_t").hint("merge"), "_k")
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+    def placed(df: DataFrame, c: str, own: str, other: str) -> DataFrame:
+        rows = df.join(blocks.hint("merge"), key(c) == F.col("_k"))
+        block = F.pmod(F.xxhash64(*df.columns), F.col(f"_n{own}")).alias(f"_{own}")
+        return rows.select(*df.columns, "_t", block, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_n{other}") - 1)).alias(f"_{other}")).repartition(tasks, "_t", "_l", "_r")
+
+    pairs = placed(left, left_on, "l", "r").join(placed(right, right_on, "r", "l").hint("merge"), ["_t", "_l", "_r"])
+    return pairs.drop("_t", "_l", "_r")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curalake.catalog import QUERIES
-from curalake.operators import reports, sync
+from curalake.operators import merge, ordering, reports, sync
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +40,23 @@ def test_rows_without_id_stay_apart(spark):
             spark.conf.set(k, v)
     assert {r.route: r["count"] for r in out.groupBy("route").count().collect()} == {"skip": 500, "refresh": 2, "insert": 300}
     assert {tuple(r) for r in out.where("route = 'refresh'").collect()} == {(1, 495, 991, "refresh"), (3, 496, 993, "refresh")}
+
+
+def test_appended_values_are_not_broadcast(spark):
+    """What is there has a row for each parent at least, so it isn't sent through the driver."""
+    existing = spark.createDataFrame([("a", 1, "x")], "parent string, ordinal int, value string")
+    incoming = spark.createDataFrame([("a", 1, "y"), ("a", 0, "x"), ("b", 3, "z")], "parent string, pos int, value string")
+    out = merge.append_ordered(existing, incoming, "parent")
+    assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert {tuple(r) for r in out.collect()} == {("a", 1, "x", False), ("a", 2, "y", True), ("b", 1, "z", True)}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_a_frequent_text_are_dealt(spark, monkeypatch):
+    """The pairs of one text are blocks of several tasks; each pair comes once, nulls match nothing."""
+    monkeypatch.setattr(ordering, "BLOCK", 50, raising=False)
+    left = spark.range(0, 300, 1, 1).selectExpr("id AS a", "CASE id % 3 WHEN 0 THEN 'Zoé' WHEN 1 THEN 'zoe' END AS x")
+    right = spark.range(0, 120, 1, 1).selectExpr("id AS b", "CASE WHEN id % 2 = 0 THEN 'ZOE' WHEN id < 20 THEN 'no' END AS y")
+    out = ordering.locale_join(left, right, "x", "y").select("a", "b")
+    assert {tuple(r) for r in out.collect()} == {(a, b) for a in range(300) if a % 3 < 2 for b in range(0, 120, 2)} and out.count() == 12_000
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
