@@ -72,12 +72,12 @@ def replace_scoped(target: DataFrame, rows: DataFrame, scope: DataFrame, keys: l
 def append_ordered(existing: DataFrame, incoming: DataFrame, parent: str) -> DataFrame:
     """Incoming (parent, pos, value) behind existing (parent, ordinal, value), each value of a parent once.
 
-    Run again with the same input it adds nothing.
+    Run again with the same input it adds nothing. Neither side is broadcast, however few bytes its shuffle has: both grow with the parents.
     """
-    firsts = incoming.groupBy(parent, "value").agg(F.min("pos").alias("pos")).join(existing, [parent, "value"], "left_anti")
+    firsts = incoming.groupBy(parent, "value").agg(F.min("pos").alias("pos")).join(existing.hint("merge"), [parent, "value"], "left_anti")
     start = existing.groupBy(parent).agg(F.max("ordinal").alias("_last"))
     number = F.row_number().over(Window.partitionBy(parent).orderBy("pos", "value"))
-    added = firsts.join(start, parent, "left").select(parent, (F.coalesce("_last", F.lit(0)) + number).cast("long").alias("ordinal"), "value", F.lit(True).alias("added"))
+    added = firsts.join(start.hint("merge"), parent, "left").select(parent, (F.coalesce("_last", F.lit(0)) + number).cast("long").alias("ordinal"), "value", F.lit(True).alias("added"))
     return existing.select(parent, F.col("ordinal").cast("long"), "value", F.lit(False).alias("added")).unionByName(added)
 
 
