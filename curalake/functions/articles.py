@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -121,7 +121,12 @@ def article_text(xml: str | None) -> str | None:
     return "\n".join(out).strip() or None
 
 
-@F.pandas_udf(StringType())
-def full_text(xml: pd.Series) -> pd.Series:
-    """article_text of each record of a batch."""
-    return xml.map(article_text)
+#: Records whose texts are held in Python before they go to Arrow.
+SLICE = 200
+
+
+@F.arrow_udf(StringType())
+def full_text(xml: pa.Array) -> pa.Array:
+    """article_text of each record of a batch; they stay in Arrow but for one at a time, and the texts of SLICE records."""
+    parts = [pa.array([article_text(x.as_py()) for x in xml[i : i + SLICE]], pa.string()) for i in range(0, len(xml), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())

@@ -2,8 +2,10 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from curalake.catalog import QUERIES
+from curalake.functions import articles
 from curalake.operators import merge, ordering, reports, sync
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +62,10 @@ def test_pairs_of_a_frequent_text_are_dealt(spark, monkeypatch):
     out = ordering.locale_join(left, right, "x", "y").select("a", "b")
     assert {tuple(r) for r in out.collect()} == {(a, b) for a in range(300) if a % 3 < 2 for b in range(0, 120, 2)} and out.count() == 12_000
     assert out.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_full_texts_stay_in_arrow(spark):
+    """A batch of records isn't a series of Python texts; slices keep order and nulls."""
+    assert articles.full_text.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    df = spark.range(0, 500, 1, 1).selectExpr("id", "CASE WHEN id % 7 > 0 THEN concat('<a><body><p>', id, '</p></body></a>') WHEN id % 2 = 0 THEN '<a' END AS xml")
+    assert [r.t for r in df.select("id", articles.full_text("xml").alias("t")).orderBy("id").collect()] == [str(i) if i % 7 else None for i in range(500)]
