@@ -12,8 +12,8 @@ words, and each cut ends a token of A and of B. The alignment of a distinct word
   of the two tokens which cover it. So links take time in proportion to the tokens; a range join would compare all pairs of a group.
 
 Links are counted by pair of ids, weighted by how often the word occurs, and joined back to the words' links. Documents are
-then dealt to slices of about SLICE bytes; each slice gets the results of its own distinct words, and sums and joins them in
-the order of each text.
+dealt to slices of about SLICE bytes, where their words are counted; each slice then gets the results of its own distinct words,
+and sums and joins them in the order of each text.
 
 Defined results: null and empty texts, and texts with the character U+2581, which B turns into a space, have no tokens: zeros
 and the empty string; a text without cuts is one word, however long; equal rows get equal results, one row each (rows with equal id
@@ -41,22 +41,14 @@ from curalake.llm.sentence_pieces import MARK
 #: White space of any version of Unicode, controls and format characters: no cut is made next to them, though some would be safe.
 _WHITE = r"\x00-\x20\x7f-\xa0\xad ᠎ -‏ -  -⁯　﻿" + MARK
 _CUT = f" (?<=[^{_WHITE}] )(?=[^{_WHITE}])"
-#: A space that is no cut. A text without one, which is the usual text, is split at every space.
-_NO_CUT = f" (?:(?<=(?:^|[{_WHITE}]) )|(?=$|[{_WHITE}]))"
-#: The same for Python, which wants lookbehinds of one width.
 _SPLIT = re.compile(_CUT)
-#: The same as _NO_CUT for Arrow, which has no lookaround.
+#: A space that is no cut, without the lookaround that Arrow lacks. A text without one, which is the usual text, is split at every space.
 _ODD = f"(?:^|[{_WHITE}]) | (?:$|[{_WHITE}])"
 #: Bytes of text of a slice, words that are joined at a time, and bytes of text that are split and looked up at a time.
 SLICE, WORDS, LETTERS = 1 << 25, 1 << 17, 1 << 24
 
 _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
-
-def _words(text: str) -> Column:
-    return F.when(F.col(text).rlike(_NO_CUT), F.split(text, _CUT, -1)).otherwise(F.split(text, " ", -1))
-
-
 #: A task has one core.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -153,6 +145,73 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return out
 
 
+def _split(docs: pa.Table) -> Iterator[tuple[pa.Table, pa.ListArray]]:
+    """Documents with their words, LETTERS of text at a time; texts with an odd space are cut by the pattern, apart from the others."""
+    upto = pc.binary_length(docs.column("text")).to_numpy().cumsum()
+    low = 0
+    while low < docs.num_rows:
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + LETTERS)))
+        part = docs.slice(low, high - low)
+        odd = pc.match_substring_regex(part.column("text"), _ODD)
+        for own, cut in ((part.filter(pc.invert(odd)), lambda texts: pc.split_pattern(texts, " ")), (part.filter(odd), _by_pattern)):
+            if own.num_rows:
+                yield own, cut(own.column("text").combine_chunks())
+        low = high
+
+
+def _by_pattern(texts: pa.Array) -> pa.ListArray:
+    return pa.concat_arrays([pa.array([_SPLIT.split(t.as_py())], pa.list_(pa.string())) for t in texts])
+
+
+def _runs(batch: pa.RecordBatch, *keys: str) -> Iterator[pa.RecordBatch]:
+    """The parts of a batch whose rows are alike in the keys."""
+    columns = [batch.column(k).to_numpy() for k in keys]
+    edges = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0), True]) if batch.num_rows else []
+    for low, high in zip(edges[:-1], edges[1:]):
+        yield batch.slice(low, high - low)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of slices, one slice after the other, as the distinct words of each slice, with how often they occur."""
+    at, size = None, 0
+    held: list[pa.RecordBatch] = []  # texts of the slice, with size bytes: below LETTERS before the last batch
+    counts: list[pa.Table] = []  # words of the slice, each once in a table
+
+    def merged() -> pa.Table:
+        words = pa.concat_tables(counts)
+        return words.group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]) if len(counts) > 1 else words
+
+    def count() -> None:
+        nonlocal size
+        for _, lists in _split(pa.Table.from_batches(held)):
+            counts.append(pa.Table.from_batches([pa.RecordBatch.from_struct_array(pc.value_counts(lists.flatten()))]).rename_columns(["word", "n"]))
+        if len(counts) > 8:
+            counts[:] = [merged()]
+        held.clear()
+        size = 0
+
+    def slice_ends() -> Iterator[pa.RecordBatch]:
+        if held:
+            count()
+        if counts:
+            words = merged()
+            counts.clear()
+            words = pa.table({"slice": pa.repeat(pa.scalar(at, pa.int32()), words.num_rows), "word": words["word"], "n": words["n"]})
+            yield from words.to_batches(max_chunksize=1 << 16)
+
+    for whole in batches:
+        for batch in _runs(whole, "slice"):
+            if batch.column("slice")[0].as_py() != at:
+                yield from slice_ends()
+                at = batch.column("slice")[0].as_py()
+            held.append(batch.select(["text"]))
+            size += pc.sum(pc.binary_length(batch.column("text"))).as_py()
+            if size >= LETTERS:
+                count()
+    yield from slice_ends()
+    give_back()
+
+
 _RESULT = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in _SUMS), ("groups_sha256", pa.string())])
 
 
@@ -184,22 +243,6 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 started = doc
         return pa.RecordBatch.from_arrays([ids, *map(pa.array, sums), pa.array([h.hexdigest() for h in hashes])], schema=_RESULT)
 
-    def split(batch: pa.Table) -> Iterator[tuple[pa.Array, pa.ListArray]]:
-        """Ids and words of documents, LETTERS of text at a time; texts with an odd space are cut by the pattern, apart from the others."""
-        upto = pc.binary_length(batch.column("text")).to_numpy().cumsum()
-        low = 0
-        while low < batch.num_rows:
-            high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + LETTERS)))
-            part = batch.slice(low, high - low)
-            odd = pc.match_substring_regex(part.column("text"), _ODD)
-            for docs, cut in ((part.filter(pc.invert(odd)), lambda texts: pc.split_pattern(texts, " ")), (part.filter(odd), by_pattern)):
-                if docs.num_rows:
-                    yield docs.column("doc_id").combine_chunks(), cut(docs.column("text").combine_chunks())
-            low = high
-
-    def by_pattern(texts: pa.Array) -> pa.ListArray:
-        return pa.concat_arrays([pa.array([_SPLIT.split(t.as_py())], pa.list_(pa.string())) for t in texts])
-
     def waiting() -> Iterator[pa.RecordBatch]:
         """Results of the documents that wait; the words of their slice are complete."""
         nonlocal own, table, size
@@ -209,23 +252,20 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c in _SUMS:  # a word has fewer tokens than an int32 can count
                 table[c] = np.concatenate([b.column(c).to_numpy() for b in own]).astype(np.int64 if c == "count_sum" else np.int32)
             own = []
-        for ids, lists in split(pa.Table.from_batches(held)):
-            yield results(ids, lists)
+        for docs, lists in _split(pa.Table.from_batches(held)):
+            yield results(docs.column("doc_id").combine_chunks(), lists)
         held.clear()
         size = 0
 
     held: list[pa.RecordBatch] = []  # documents of the slice, with size bytes of text: below LETTERS before the last batch
     size = 0
     for whole in batches:
-        kinds, slices = whole.column("kind").to_numpy(), whole.column("slice").to_numpy()
-        edges = np.flatnonzero(np.r_[True, (kinds[1:] != kinds[:-1]) | (slices[1:] != slices[:-1]), True]) if len(kinds) else []
-        for low, high in zip(edges[:-1], edges[1:]):
-            batch = whole.slice(low, high - low)
-            if slices[low] != at:
+        for batch in _runs(whole, "slice", "kind"):
+            if batch.column("slice")[0].as_py() != at:
                 if held:
                     yield from waiting()
-                at, own, table = slices[low], [], None
-            if kinds[low] == 0:
+                at, own, table = batch.column("slice")[0].as_py(), [], None
+            if batch.column("kind")[0].as_py() == 0:
                 own.append(batch.select(["word", "groups", *_SUMS]))
                 continue
             held.append(batch.select(["doc_id", "text"]))
@@ -242,8 +282,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when((text != "") & ~text.contains(MARK), text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = rows.where("text is not null").withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(total // SLICE + 1)).cast("int"))
-    parts = saved(dealt.select("slice", F.explode(_words("text")).alias("word")).groupBy("slice", "word").agg(F.count("*").alias("n")), "words")
+    slices = total // SLICE + 1
+    dealt = rows.where("text is not null").withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).cast("int"))
+    # The texts of a slice meet, in a task of their own, before they are cut: its words are counted once, and no partial counts are shuffled.
+    few = partial(setting, docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    with few():
+        parts = saved(dealt.select("slice", "text").repartitionById(slices, "slice").mapInArrow(_counted, "slice int, word string, n long"), "words")
     ids = encoded(parts.groupBy("word").agg(F.sum("n").alias("n")), a_path, b_path)
     # Lists of a word are gathered in sorted order, one sort for both aggregations: a hash map of lists turns to sorting after 128 keys anyway, each time.
     with co_partitioned(docs.sparkSession), setting(docs.sparkSession, "spark.sql.execution.useObjectHashAggregateExec", "false"):
@@ -259,9 +303,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     head = known.select("slice", F.lit(0).alias("kind"), "word", "groups", *_SUMS, F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     nothing = [F.lit(None).cast("string").alias(c) for c in ("word", "groups")] + [F.lit(None).cast("long").alias(c) for c in _SUMS]
     tail = dealt.select("slice", F.lit(1).alias("kind"), *nothing, "doc_id", "text")
-    both = head.unionByName(tail).repartition("slice").sortWithinPartitions("slice", "kind")
+    both = head.unionByName(tail).repartitionById(slices, "slice").sortWithinPartitions("slice", "kind")
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in _SUMS) + ", groups_sha256 string"
-    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"):
+    with few():
         out = saved(both.mapInArrow(_folded, schema), "folded")
     discard(known)
     empty = rows.where("text is null").select("doc_id", *(F.lit(0).cast("long").alias(c) for c in _SUMS), F.lit("").alias("groups_sha256"))

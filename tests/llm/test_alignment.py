@@ -131,3 +131,29 @@ def test_odd_spaces_in_arrow():
     beside = [chr(i) for i in [*range(1, 0x3100), 0xFEFF, 0x1F600]]
     texts = [f"a{c} b" for c in beside] + [f"a {c}b" for c in beside] + ["", " ", "a ", " a", "a b", "a  b", "a \n", "\n a"]
     assert pc.match_substring_regex(pa.array(texts), alignment._ODD).to_pylist() == [bool(re.search(alignment._ODD, t)) for t in texts]
+
+
+@pytest.mark.parametrize("letters", [1, 30, 1 << 24])
+def test_words_of_a_slice_are_counted_once(monkeypatch, letters):
+    """However the texts of a slice come in batches and blocks, each of its words is one row; words are those of the pattern."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(alignment, "LETTERS", letters)
+    texts = [*ODD, "a b a", "b"] * 2
+    slices = [k // 20 for k in range(len(texts))]
+    batches = [pa.RecordBatch.from_pydict({"slice": pa.array(slices[k : k + 7], pa.int32()), "text": texts[k : k + 7]}) for k in range(0, len(texts), 7)]
+    got = [(r["slice"], r["word"], r["n"]) for b in alignment._counted(iter(batches)) for r in b.to_pylist()]
+    assert sorted(got) == sorted((s, w, n) for (s, w), n in Counter((s, w) for s, t in zip(slices, texts) for w in alignment._SPLIT.split(t)).items())
+
+
+def test_partial_counts_are_not_shuffled(spark, monkeypatch):
+    """The table of words has no aggregation behind its shuffle, and a slice is one task."""
+    made = {}
+    keep = alignment.saved
+    monkeypatch.setattr(alignment, "SLICE", 100)
+    monkeypatch.setattr(alignment, "saved", lambda df, tag, **o: made.setdefault(tag, df) and keep(df, tag, **o))
+    df = spark.createDataFrame([(k, f"one two{k} three " * 5 + "end") for k in range(40)], "doc_id long, text string")
+    assert alignment.align(df, A, B).count() == 40
+    plan = made["words"]._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange") == 1
+    assert made["words"].select(F.spark_partition_id().alias("p"), "slice").distinct().groupBy("p").count().where("count > 1").isEmpty()
