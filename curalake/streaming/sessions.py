@@ -18,12 +18,17 @@ ANSWERS = "key string, pos long, at long, answer string, revision long"
 LAST = (1 << 53) - 1
 
 
+#: Keys share so many states.
+BUCKETS = 4096
+
+
 class SessionStore(StatefulProcessor):
-    """One session for each key: its revision and the time of its last write.
+    """One session for each key: its revision and the time of its last write. A state holds the sessions of the keys of a bucket.
 
     A write names the revision that it was made from (0 for none). On a live session it is saved only if that is the session's
     revision, and is a conflict otherwise; where there is no session, or one whose time is over, it revives it one past
-    the revision that it names. A session's time is over ttl milliseconds after its last write, and a timer then sweeps its state.
+    the revision that it names. A session's time is over ttl milliseconds after its last write, and a timer then sweeps it.
+    The timer of a bucket is that of the session which ends first.
     """
 
     def __init__(self, ttl: int):
@@ -31,46 +36,69 @@ class SessionStore(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.session = handle.getValueState("session", "revision long, saved long")
+        self.state = handle.getValueState("sessions", "keys array<string>, revisions array<long>, saved array<long>")
+
+    def _read(self) -> dict[str, tuple[int, int]]:
+        """Revision and last write by key."""
+        held = self.state.get()
+        return {k: (r, s) for k, r, s in zip(*held)} if held else {}
+
+    def _end(self, sessions: dict[str, tuple[int, int]]) -> int | None:
+        return min(s for _, s in sessions.values()) + self.ttl if sessions else None
 
-    def _swept(self, key: str, saved: int, revision: int) -> tuple:
-        return (key, None, saved + self.ttl, "swept", revision)
+    def _write(self, sessions: dict[str, tuple[int, int]]) -> None:
+        if sessions:
+            self.state.update((list(sessions), [r for r, _ in sessions.values()], [s for _, s in sessions.values()]))
+        else:
+            self.state.clear()
+
+    def _swept(self, user: str, revision: int, saved: int) -> tuple:
+        return (user, None, saved + self.ttl, "swept", revision)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = tuple(self.session.get()) if self.session.exists() else None
-        before = stored
+        sessions = self._read()
+        before = self._end(sessions)
         out = []
-        writes = sorted((int(at), int(pos), int(base)) for part in rows for at, pos, base in zip(part["at_ms"], part["pos"], part["base"]))
-        for at, pos, base in writes:
+        for user, at, pos, base in sorted((k, int(t), int(p), int(b)) for part in rows for k, t, p, b in zip(part["key"], part["at_ms"], part["pos"], part["base"])):
+            stored = sessions.get(user)
             if stored and stored[1] + self.ttl <= at:
-                out.append(self._swept(key[0], stored[1], stored[0]))
+                out.append(self._swept(user, *stored))
                 stored = None
             if stored and base != stored[0]:
-                out.append((key[0], pos, at, "conflict", stored[0]))
+                out.append((user, pos, at, "conflict", stored[0]))
                 continue
             answer = "saved" if stored or not base else "revived"
-            stored = (min(base + 1, LAST), at)
-            out.append((key[0], pos, at, answer, stored[0]))
-        if stored != before:
-            if before:
-                self.handle.deleteTimer(before[1] + self.ttl)
-            self.session.update(stored)
-            self.handle.registerTimer(stored[1] + self.ttl)
-        yield pd.DataFrame(out, columns=["key", "pos", "at", "answer", "revision"]).astype({"pos": "Int64"})
+            sessions[user] = (min(base + 1, LAST), at)
+            out.append((user, pos, at, answer, sessions[user][0]))
+        self._write(sessions)
+        self._move_timer(before, self._end(sessions))
+        yield _answers(out)
+
+    def _move_timer(self, before: int | None, after: int | None) -> None:
+        if after != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if after is not None:
+                self.handle.registerTimer(after)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.session.exists():
-            revision, saved = self.session.get()
-            if saved + self.ttl <= expiredTimerInfo.getExpiryTimeInMs():
-                self.session.clear()
-                out.append(self._swept(key[0], saved, revision))
-        yield pd.DataFrame(out, columns=["key", "pos", "at", "answer", "revision"]).astype({"pos": "Int64"})
+        sessions = self._read()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        over = {k: s for k, s in sessions.items() if s[1] + self.ttl <= now}
+        if over:
+            left = {k: s for k, s in sessions.items() if k not in over}
+            self._write(left)
+            self._move_timer(None, self._end(left))  # the one that came is gone
+        yield _answers([self._swept(k, *s) for k, s in over.items()])
 
     def close(self) -> None:
         pass
 
 
+def _answers(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["key", "pos", "at", "answer", "revision"]).astype({"pos": "Int64"})
+
+
 @contextmanager
 def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
     """Queries started inside keep their state in RocksDB, which timers need."""
@@ -86,10 +114,12 @@ def stored_sessions(writes: DataFrame, key: str, at: str, pos: str, base: str, t
     """Answers to a stream of writes, and sweeps, as the watermark (delay behind the newest write) passes the end of a session.
 
     Writes of a key are taken in the order of their time inside a micro-batch. Null keys are one key, the empty text.
+    Python is called for buckets of keys, so that its calls don't grow with the keys; a bucket's state is written as a whole.
     """
     rows = writes.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.col(at).cast("timestamp").alias("at"), F.col(pos).cast("long").alias("pos"), F.col(base).cast("long").alias("base"))
     rows = rows.withColumn("at_ms", F.unix_millis("at")).withWatermark("at", delay)
-    return rows.groupBy("key").transformWithStateInPandas(SessionStore(ttl), ANSWERS, "Append", "EventTime")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+    return rows.groupBy("bucket").transformWithStateInPandas(SessionStore(ttl), ANSWERS, "Append", "EventTime")
 
 
 def settled_inputs(stream: DataFrame, key: str, at: str, pos: str, value: str, gap: str, delay: str) -> DataFrame:
